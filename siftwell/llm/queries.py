@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, piece_codec, quality_rules, simhash
+from . import decontaminate, line_dedup, piece_codec, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_line_dedup": op7_line_dedup,
@@ -48,6 +53,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _spans_sql(name: str, pattern: str, group: int = 0) -> str:
+    """Rows (r, kind, s, e, value) of a pattern's matches, placed by the lengths of what lies between."""
+    p = pattern.replace("'", "''")
+    return f"""
+{name}_m AS (SELECT r, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', {group}) AS vs, string_split_regex(text, '{p}') AS gs FROM docs),
+{name}_x AS (SELECT r, ms, vs, gs, unnest(range(1, len(ms) + 1)) AS k FROM {name}_m),
+{name} AS (SELECT r, coalesce(list_sum([length(g) FOR g IN gs[1:k]]), 0) + coalesce(list_sum([length(m) FOR m IN ms[1 : k - 1]]), 0) AS s, length(ms[k]) AS n, vs[k] AS value FROM {name}_x)"""
+
+
+def _entropy_sql(cls: secret_scan.CharClass) -> str:
+    token = "lower(value)" if cls.fold else "value"
+    known = " OR ".join("regexp_matches(value, '" + p.replace("(?i)", "(?i:").replace("'", "''") + (")" if "(?i)" in p else "") + "')" for p in secret_scan.ALLOWED)
+    units = "[" + ", ".join(str(cls.units(n)) for n in range(cls.window + 1)) + "]"
+    w = cls.window
+    return f"""
+{cls.name}_w AS (SELECT r, s, i, substr({token}, i, {w}) AS win FROM (SELECT *, unnest(range(1, n - {w} + 2)) AS i FROM {cls.name} WHERE n >= {w} AND NOT ({known}))),
+{cls.name}_h AS (SELECT r, s, i, list_sum([{units}[length(win) - length(replace(win, c, '')) + 1] FOR c IN list_distinct(string_split(win, ''))]) AS u FROM {cls.name}_w),
+{cls.name}_f AS (SELECT r, s + min(i) - 1 AS s, s + max(i) - 1 + {w} AS e FROM {cls.name}_h WHERE u <= {cls.most} GROUP BY r, s)"""
+
+
+_ASSIGN_SQL = "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + """)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+OP1_SQL = (
+    "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),"
+    + ",".join([_spans_sql("assign", _ASSIGN_SQL, 2), _spans_sql("access", secret_scan.ACCESS), _spans_sql("hex", secret_scan.HEX), *(_spans_sql(c.name, c.pattern) for c in secret_scan.CLASSES), *map(_entropy_sql, secret_scan.CLASSES)])
+    + f""",
+base AS (SELECT r, 0 AS kind, s, s + n AS e FROM assign WHERE length(value) >= {secret_scan.MIN_VALUE}
+  UNION ALL SELECT r, 1, s, s + n FROM access UNION ALL SELECT r, 2, s, s + n FROM hex),
+more AS (SELECT r, 3 AS kind, s, e FROM entropy_hex_f UNION ALL SELECT r, 4, s, e FROM entropy_base64_f),
+clear AS (SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.s < m.e AND m.s < b.e)),
+spelled AS (SELECT r, kind, s, e, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][kind + 1] || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM clear))
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(x, ',' ORDER BY s, kind), '') AS spans
+FROM docs d LEFT JOIN spelled p ON d.r = p.r GROUP BY d.r, d.doc_id
+"""
+)
+
 OP7_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM docs),
@@ -75,6 +123,7 @@ FROM w LEFT JOIN cover c USING (r) LEFT JOIN owners o USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
 }
