@@ -64,9 +64,9 @@ def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return slim.mapInArrow(run, "window string, n int, item_id string, grams array<long>")
 
 
-def _bloom(grams: DataFrame, name: str) -> Bloom:
-    """A filter of the column ``name``; what is collected is bounded by ``MOST_WORDS``."""
-    n_words = power_of_two(grams.count(), 1 << 10, MOST_WORDS)
+def bloom_of(grams: DataFrame, name: str, n_words: int | None = None) -> Bloom:
+    """A filter of the column ``name``; what is collected is bounded by its size in words."""
+    n_words = n_words or power_of_two(grams.count(), 1 << 10, MOST_WORDS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     listed = each.select("window", "n", F.posexplode("grams").alias("off", "gram"))
     grams = stash(listed.select("gram", F.least("n", F.lit(GRAM)).alias("g")).distinct(), "grams")
     lengths = sorted(r["g"] for r in grams.select("g").distinct().collect())  # 1 to GRAM: at most three rows
-    known = spark.sparkContext.broadcast(_bloom(grams, "gram").words)
+    known = spark.sparkContext.broadcast(bloom_of(grams, "gram").words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, total = Bloom(known.value), Counter()
@@ -118,7 +118,7 @@ def probe(docs: DataFrame, prefix: DataFrame, size: int = SIZE) -> DataFrame:
     """(id, n_words, suspects) of each row: places of prefix shingles with the words around them."""
     shapes = prefix.select(F.least("n", F.lit(GRAM)).alias("g")).distinct()
     lengths = sorted(r["g"] for r in shapes.collect())  # at most three rows
-    known = docs.sparkSession.sparkContext.broadcast(_bloom(prefix.select("gram").distinct(), "gram").words)
+    known = docs.sparkSession.sparkContext.broadcast(bloom_of(prefix.select("gram").distinct(), "gram").words)
     suspect = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("words", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, min_items: int = 2, size: int = SIZE) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, min_items: int = 1, size: int = SIZE) -> DataFrame:
     """``docs`` without documents that hold windows of ``min_items`` or more items."""
     (k,) = fresh(docs, "decontaminate_id")
     bad = contamination(docs, items, size).filter(F.col("n_items") >= min_items).select(id_key().alias(k)).distinct()
