@@ -14,7 +14,7 @@ Exact confirmation compares 128-bit XXH3 digests of keys.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,29 +53,23 @@ def _text(value: pa.Scalar) -> bytes:
     return b"" if not value.is_valid else value.as_buffer().to_pybytes()
 
 
-def twice_filter(docs: DataFrame, n_words: int, min_chars: int) -> Bloom:
-    """The keys that two documents may hold.
+def twice_filter(rows: DataFrame, n_words: int, keys_of: Callable[[pa.RecordBatch], np.ndarray]) -> Bloom:
+    """The keys that may come twice among the 64-bit keys that ``keys_of`` finds in batches of ``rows``.
 
     Each task fills its own two filters and sends their segments compressed (size in proportion to
-    its own lines); a segment's merge streams over them with two arrays in memory.
+    its own keys); a segment's merge streams over them with two arrays in memory.
     """
     width = n_words // SEGMENTS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(n_words, np.uint64), np.zeros(n_words, np.uint64)
         for batch in batches:
-            keys: list[bytes] = []
-            for x in batch.column(1):
-                keys += {k for k in line_keys(_text(x), min_chars) if k}
-            if not keys:
-                continue
-            at, bits = Bloom.place(_hashes(keys), n_words)
+            at, bits = Bloom.place(keys_of(batch), n_words)
             order = np.lexsort((bits, at))
             at, bits = at[order], bits[order]
             again = np.zeros(len(at), bool)
             again[1:] = (at[1:] == at[:-1]) & (bits[1:] == bits[:-1])
             again |= (once[at] & bits) == bits
-            # keys of one batch whose bits come together from several others are covered by the second look
             np.bitwise_or.at(once, at, bits)
             np.bitwise_or.at(twice, at[again], bits[again])
         for s in range(SEGMENTS):
@@ -96,7 +90,7 @@ def twice_filter(docs: DataFrame, n_words: int, min_chars: int) -> Bloom:
         for s, (_, t) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(t.tobytes(), 1)], pa.binary())], names=["seg", "twice"])
 
-    parts = docs.mapInArrow(build, "seg int, once binary, twice binary").repartition(SEGMENTS, "seg")
+    parts = rows.mapInArrow(build, "seg int, once binary, twice binary").repartition(SEGMENTS, "seg")
     words = np.zeros(n_words, np.uint64)
     for row in parts.mapInArrow(merge, "seg int, twice binary").toLocalIterator():  # at most n_words words, a bounded size
         words[row["seg"] * width : (row["seg"] + 1) * width] = np.frombuffer(zlib.decompress(row["twice"]), np.uint64)
@@ -109,7 +103,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, n_words: int | None = N
     slim = docs.select(id_key().alias("id"), "text")
     if n_words is None:  # about 16 bits a line, from the number of documents; only the share of false hits depends on it
         n_words = power_of_two(docs.count() * 4, 1 << 12, MOST_WORDS)
-    shared = spark.sparkContext.broadcast(twice_filter(slim, n_words, min_chars).words)
+
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        return _hashes([k for x in batch.column(1) for k in {k for k in line_keys(_text(x), min_chars) if k}])
+
+    shared = spark.sparkContext.broadcast(twice_filter(slim, n_words, keys_of).words)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(shared.value)
