@@ -5,6 +5,447 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions import expansion, scoring, text
+from ..operators import calibration, navigation, parsing, retrieval
+from ..operators.retrieval import SearchOptions
+from ..sources import store
+from ..streaming import changes
+from . import model as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ctes: str = ""):
+    """Register a query under its function's name; ``sql`` may read the model's tables and ``ctes``."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = f"WITH {M.SQL}{',' + ctes if ctes else ''}\n{sql}"
+        return function
+
+    return add
+
+
+# -- lines (R4-R8, X8) -----------------------------------------------------------------------------------
+
+
+def _line_sql(term: str, test: str) -> str:
+    return f"SELECT file_id, line_number, line, round({M.line_score_sql('line', term)}, {C.DIGITS}) AS score FROM numbered WHERE {test}"
+
+
+def _lines(spark, d, pattern, mode):
+    return retrieval.line_search(M.files(spark, d).select("file_id", "content"), pattern, mode).select("file_id", "line_number", "line", "score")
+
+
+@query(_line_sql("the", "contains(lower(line), 'the')"), M.numbered_sql("files", "file_id"))
+def line_search_scored(spark, d):
+    return _lines(spark, d, "the", "literal")
+
+
+@query(_line_sql("was", r"regexp_matches(line, '(?i)\bwas\b')"), M.numbered_sql("files", "file_id"))
+def line_search_word(spark, d):
+    return _lines(spark, d, "was", "word")
+
+
+@query(_line_sql("an[sd]+ th", "regexp_matches(line, '(?i)an[sd]+ th')"), M.numbered_sql("files", "file_id"))
+def line_search_regex(spark, d):
+    return _lines(spark, d, "an[sd]+ th", "regex")
+
+
+@query(f"SELECT conv_id, turn, line_number, line, round({M.line_score_sql('line', 'and')}, {C.DIGITS}) AS score FROM numbered WHERE contains(lower(line), 'and')", M.numbered_sql("conversations", "conv_id, turn", "text"))
+def line_search_dialogue(spark, d):
+    rows = M.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
+    return retrieval.line_search(rows, "and").select("conv_id", "turn", "line_number", "line", "score")
+
+
+_TERMS = ["thenin", "heen", "und"]
+_OWNER = "CASE " + " ".join(f"WHEN contains(lower(line), '{t}') THEN {k}" for k, t in enumerate(_TERMS)) + " END"
+_OWNED = "CASE " + " ".join(f"WHEN contains(lower(line), '{t}') THEN {M.line_score_sql('line', t)}" for t in _TERMS) + " END"
+
+
+def _text_ctes(limit: int, terms_owner: str = _OWNER, terms_score: str = _OWNED) -> str:
+    return f"""{M.numbered_sql("files", "path")},
+matches AS (SELECT * FROM (SELECT path, line_number, line, {terms_owner} AS term_ord, round({terms_score}, {C.DIGITS}) AS score FROM numbered) WHERE term_ord IS NOT NULL AND {M.ext_sql("path")} NOT IN ('') AND {M.ext_sql("path")} NOT IN {M.EXCLUDED_EXT_SQL}),
+text_rows AS (SELECT 2 AS strategy, 'text_match' AS kind, path, line_number AS start_line, line_number AS end_line, score, line AS content, NULL::VARCHAR AS symbol_name, NULL::VARCHAR AS symbol_kind, term_ord, row_number() OVER (ORDER BY path, score DESC, term_ord, line_number) AS row_ord FROM matches
+  QUALIFY row_ord <= {limit})"""
+
+
+@query("SELECT path, start_line, term_ord, score, content, row_ord FROM text_rows", _text_ctes(50))
+def text_strategy_topk(spark, d):
+    return retrieval.text_strategy(M.files(spark, d), _TERMS, 50).select("path", "start_line", "term_ord", "score", "content", "row_ord")
+
+
+@query("SELECT file_id, line_number, term_ord, score FROM (SELECT file_id, line_number, " + _OWNER + " AS term_ord, round(" + _OWNED + f", {C.DIGITS}) AS score FROM numbered) WHERE term_ord IS NOT NULL", M.numbered_sql("files", "file_id"))
+def text_term_matches(spark, d):
+    return retrieval.term_matches(M.files(spark, d).select("file_id", "content"), _TERMS).select("file_id", "line_number", "term_ord", "score")
+
+
+# -- symbols (R2, R3, X7) -----------------------------------------------------------------------------------
+
+_FTS = " OR ".join(f"contains({M.norm_sql(c)}, ' red wi')" for c in ("name", "signature", "doc_comment"))
+
+
+@query(f"SELECT symbol_id, name, signature FROM symbols WHERE {_FTS} ORDER BY symbol_id LIMIT {C.FTS_CAP}")
+def fts_phrase_prefix(spark, d):
+    return retrieval.fts_match(M.symbols(spark, d), "red wi").select("symbol_id", "name", "signature")
+
+
+@query(f"SELECT symbol_id, round({M.symbol_score_sql('name', repr('red'), 'kind')}, {C.DIGITS}) AS score FROM symbols")
+def symbol_score(spark, d):
+    return M.symbols(spark, d).select("symbol_id", F.round(scoring.symbol_score(F.col("name"), F.lit("red"), F.col("kind")), C.DIGITS).alias("score"))
+
+
+def _symbol_ctes(terms: list[str], limit: int, filters: str = "TRUE") -> str:
+    values = ", ".join(f"({k}, '{t}', '{retrieval.phrase(t)}')" for k, t in enumerate(terms))
+    hit = " OR ".join(f"contains({M.norm_sql(c)}, want)" for c in ("name", "signature", "doc_comment"))
+    return f"""
+terms(ord, term, want) AS (VALUES {values}),
+ranked AS (SELECT s.*, t.*, row_number() OVER (PARTITION BY ord ORDER BY symbol_id) AS rank FROM symbols s, terms t WHERE want <> '' AND ({hit})),
+symbol_rows AS (SELECT 1 AS strategy, 'symbol' AS kind, path, start_line, end_line, round({M.symbol_score_sql("name", "term", "kind")}, {C.DIGITS}) AS score, coalesce(signature, name) AS content, name AS symbol_name, kind AS symbol_kind, ord AS term_ord, symbol_id AS row_ord
+  FROM (SELECT * FROM ranked WHERE rank <= {limit}) JOIN (SELECT file_id, path FROM files) USING (file_id) WHERE {M.ext_sql("path")} NOT IN {M.EXCLUDED_EXT_SQL} AND {filters})"""
+
+
+@query("SELECT path, start_line, score, content, symbol_name, symbol_kind, term_ord, row_ord FROM symbol_rows", _symbol_ctes(["red", "small ring", "blue b"], 40, "kind IN ('function', 'class', 'type')"))
+def symbol_strategy_topk(spark, d):
+    options = SearchOptions(symbol_kinds=("function", "Class", "type"))
+    return retrieval.symbol_strategy(M.symbols(spark, d), M.files(spark, d), ["red", "small ring", "blue b"], 40, options).select("path", "start_line", "score", "content", "symbol_name", "symbol_kind", "term_ord", "row_ord")
+
+
+# -- vectors (V1, V2, V7, R14, X6, F8) -------------------------------------------------------------------------
+
+_Q = "q AS (SELECT embedding AS v FROM chunks WHERE chunk_id = 7)"
+_NEAR = f"{_Q}, near AS (SELECT c.*, round(list_distance(embedding, v), 6) AS distance FROM chunks c, q)"
+
+
+def _vector(spark, d, vec_id: int = 7):
+    row = M.table(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()  # one row
+    return retrieval.vector(row["embedding"])
+
+
+@query("SELECT chunk_id, distance FROM near ORDER BY distance, chunk_id LIMIT 20", _NEAR)
+def knn_l2(spark, d):
+    return retrieval.knn(M.chunks(spark, d), _vector(spark, d), 20).select("chunk_id", "distance")
+
+
+@query("SELECT chunk_id, round(1 - list_cosine_similarity(embedding, v), 6) + 0.0 AS distance FROM chunks, q WHERE chunk_id <> 7 ORDER BY distance, chunk_id LIMIT 20", _Q)
+def knn_cosine(spark, d):
+    return retrieval.knn(M.chunks(spark, d).filter("chunk_id <> 7"), _vector(spark, d), 20, "cosine").select("chunk_id", "distance")
+
+
+def _semantic_ctes(limit: int, far: float, least: float) -> str:
+    return f"""{_NEAR},
+wide AS (SELECT *, round(1 / (1 + distance), 6) AS score FROM near ORDER BY distance, chunk_id LIMIT {2 * limit}),
+semantic AS (SELECT 0 AS strategy, 'semantic_match' AS kind, path, start_line, end_line, score, content, NULL::VARCHAR AS symbol_name, NULL::VARCHAR AS symbol_kind, 0 AS term_ord, chunk_id AS row_ord FROM wide
+  WHERE distance < {far} AND score >= {least} AND {M.ext_sql("path")} NOT IN {M.EXCLUDED_EXT_SQL} ORDER BY distance, chunk_id LIMIT {limit})"""
+
+
+@query("SELECT path, score, content, row_ord FROM semantic", _semantic_ctes(30, 1.3, 0.3))
+def semantic_filter(spark, d):
+    return retrieval.semantic_strategy(M.chunks(spark, d), _vector(spark, d), 30, 1.3, 0.3).select("path", "score", "content", "row_ord")
+
+
+@query("SELECT language, count(*) AS count FROM (SELECT language FROM near ORDER BY distance, chunk_id LIMIT 5) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1", _NEAR)
+def dominant_label(spark, d):
+    return retrieval.dominant_language(retrieval.knn(M.chunks(spark, d), _vector(spark, d), 10))
+
+
+@query("SELECT query_hash, ts, round(1 / (1 + distance), 6) AS similarity, round(1 / (1 / (1 + distance)) - 1, 6) AS back FROM observations")
+def distance_similarity(spark, d):
+    sim = scoring.similarity(F.col("distance"))
+    return M.observations(spark, d).select("query_hash", "ts", F.round(sim, 6).alias("similarity"), F.round(scoring.distance_of(sim), 6).alias("back"))
+
+
+# -- fusion (R1) ------------------------------------------------------------------------------------------------
+
+_HYBRID = expansion.all_terms("red")
+
+
+@query("""SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY path, start_line, end_line ORDER BY score DESC, strategy, term_ord, row_ord) AS place FROM both_) WHERE place = 1 AND score >= 0.35
+ORDER BY score DESC, strategy, term_ord, row_ord LIMIT 100""", _semantic_ctes(100, 1.2, 0.3) + "," + _symbol_ctes(["red"], 100) + "," + _text_ctes(100, "CASE WHEN contains(lower(line), 'red') THEN 0 END", M.line_score_sql("line", "red")) + """,
+first_ AS (SELECT * FROM semantic UNION ALL SELECT * FROM symbol_rows),
+both_ AS (SELECT * FROM first_ UNION ALL SELECT * FROM text_rows WHERE row_ord <= greatest(0, 100 - (SELECT count(*) FROM first_)))""")
+def hybrid_search(spark, d):
+    return retrieval.hybrid_search(M.files(spark, d), M.symbols(spark, d), "red", 100, chunks=M.chunks(spark, d), embedding=_vector(spark, d))
+
+
+# -- navigation (R9-R13) -------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT * FROM (SELECT 0 AS part, 'symbol' AS kind, path, start_line, end_line, 1.0::DOUBLE AS score, array_to_string(({M.lines_sql('content')})[start_line : end_line], chr(10)) AS content, symbol_id AS row_ord FROM symbols JOIN files USING (file_id) WHERE name = 'red ring'
+UNION ALL SELECT 1, 'reference', path, start_line, end_line, score, content, row_ord FROM text_rows t WHERE NOT EXISTS (SELECT 1 FROM symbols s JOIN files f USING (file_id) WHERE s.name = 'red ring' AND f.path = t.path AND s.start_line = t.start_line))
+ORDER BY part, row_ord LIMIT 200""", _text_ctes(200, "CASE WHEN contains(lower(line), 'red ring') THEN 0 END", M.line_score_sql("line", "red ring")))
+def find_refs(spark, d):
+    return navigation.find_refs(M.files(spark, d), M.symbols(spark, d), "red ring", 200)
+
+
+@query("SELECT dep_id, target_path, import_name, kind FROM deps WHERE source_file_id = (SELECT min(file_id) FROM page_files WHERE path = (SELECT path FROM page_files WHERE file_id = 5))")
+def deps_imports(spark, d):
+    path = M.page_files(spark, d).filter("file_id = 5").first()["path"]
+    return navigation.imports_of(M.page_files(spark, d), M.deps(spark, d), path)
+
+
+@query(r"SELECT dep_id, path AS source_path, target_path, import_name, kind FROM deps JOIN (SELECT file_id AS source_file_id, path FROM page_files) USING (source_file_id) WHERE ends_with(target_path, 'the.html') OR ends_with(lower(target_path), 'the')")
+def deps_dependents(spark, d):
+    return navigation.dependents_of(M.page_files(spark, d), M.deps(spark, d), "site/the.html")
+
+
+@query(r"""SELECT DISTINCT path, dep_id FROM names JOIN deps ON ends_with(target_path, name) OR (stem <> '' AND ends_with(lower(target_path), stem)) WHERE name <> ''""",
+       r"""names AS (SELECT path, name, lower(CASE WHEN instr(substr(name, 2), '.') > 0 THEN regexp_replace(name, '\.[^.]*$', '') ELSE name END) AS stem FROM (SELECT path, regexp_extract(path, '[^/]*$', 0) AS name FROM (SELECT DISTINCT 'site' || target_path || '.html' AS path FROM deps WHERE source_file_id < 20)))""")
+def all_dependents(spark, d):
+    some = M.deps(spark, d).filter("source_file_id < 20").select(F.concat(F.lit("site"), "target_path", F.lit(".html")).alias("path")).distinct()
+    return navigation.all_dependents(some, M.deps(spark, d))
+
+
+@query("""SELECT src, dst, min(hops)::INTEGER AS hops FROM (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src UNION ALL SELECT a.src, c.dst, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src) GROUP BY 1, 2""",
+       "e AS (SELECT DISTINCT source_file_id AS src, (source_file_id * 7 + dep_id) % 500 AS dst FROM deps)")
+def transitive_imports(spark, d):
+    edges = M.deps(spark, d).select(F.col("source_file_id").alias("src"), ((F.col("source_file_id") * 7 + F.col("dep_id")) % 500).alias("dst"))
+    return navigation.transitive_imports(edges.distinct(), 3)
+
+
+@query(f"""SELECT 'red ring' AS name, (SELECT count(*) FROM firsts) > 0 AS found, (SELECT count(*) FROM firsts) AS n_definitions,
+(SELECT string_agg(name, '|' ORDER BY name) FROM (SELECT DISTINCT name FROM symbols WHERE file_id IN (SELECT file_id FROM firsts) AND name <> 'red ring')) AS related,
+greatest(0, (SELECT count(*) FROM (SELECT 1 FROM symbols WHERE {_FTS.replace(' red wi', ' red ring')} LIMIT 100)) - (SELECT count(*) FROM firsts)) AS usage_count""",
+       "firsts AS (SELECT * FROM symbols WHERE name = 'red ring' ORDER BY symbol_id LIMIT 20)")
+def explain_symbol(spark, d):
+    row = navigation.explain_symbol(M.files(spark, d), M.symbols(spark, d), "red ring")
+    return row.select("name", "found", F.size("definitions").cast("long").alias("n_definitions"), F.array_join("related", "|").alias("related"), "usage_count")
+
+
+@query("SELECT 'files' AS table_name, count(*) AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'dependencies', count(*) FROM deps")
+def index_stats(spark, d):
+    return navigation.index_stats(M.files(spark, d), M.symbols(spark, d), M.chunks(spark, d), M.deps(spark, d))
+
+
+# -- query expansion (X1-X5) ----------------------------------------------------------------------------------------
+
+_EXPANSIONS = {
+    "get_user": "getUser", "getUser": "get_user", "HelloWorld": "hello_world", "hello-world": "hello_world,helloWorld", "getUserByID": "get_user_by_i_d", "HTTPServer": "", "HELLO": "", "test": "",
+    "_private": "Private", "my_Var-name": "myVar-name,my__var-name,my_Var_name,myVarName", "a_b cD EfG": "aB,c_d,ef_g,efG", "snake_case other_thing": "snakeCase,otherThing",
+}
+_VARIANTS = {"get_user": "getUser,GetUser", "getUser": "get_user", "HelloWorld": "hello_world,helloWorld", "a-b": "a_b,aB", "plain": ""}
+
+
+def _values(rows: dict[str, str], a: str, b: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in rows.items())}) t({a}, {b})"
+
+
+@query(_values(_EXPANSIONS, "query", "terms"))
+def expand_query(spark, d):
+    return spark.createDataFrame([(q,) for q in _EXPANSIONS], "query string").select("query", F.array_join(expansion.expand_col(F.col("query")), ",").alias("terms"))
+
+
+@query(_values(_VARIANTS, "term", "variants"))
+def case_variants(spark, d):
+    return spark.createDataFrame([(q,) for q in _VARIANTS], "term string").select("term", F.array_join(expansion.variants_col(F.col("term")), ",").alias("variants"))
+
+
+# -- observations and calibration (M9, M10, K1-K6) -------------------------------------------------------------------
+
+
+@query("SELECT query_hash, language, (min({'ts': ts, 'd': distance})).ts AS ts, round((min({'ts': ts, 'd': distance})).d, 6) AS distance FROM observations GROUP BY 1, 2")
+def observations_dedup(spark, d):
+    return calibration.first_observations(M.observations(spark, d)).select("query_hash", "language", "ts", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT language, query_hash, ts, round(distance, 6) AS distance FROM observations WHERE ts >= 1706000000 - 604800")
+def observations_aged(spark, d):
+    return calibration.aged(M.observations(spark, d), 1706000000, 604800).select("language", "query_hash", "ts", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT event_id AS query_no, event_type FROM events WHERE event_id % 10 = 0")
+def observations_sampled(spark, d):
+    return calibration.sampled(M.table(spark, d, "events").select(F.col("event_id").alias("query_no"), "event_type"))
+
+
+_QUANTILES = ", ".join(f"round(quantile_cont(distance, {p}), 6) AS p{int(p * 100)}" for p in calibration.PERCENTILES)
+
+
+@query(f"SELECT language, count(*) AS n, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(min(distance), 6) AS min, round(max(distance), 6) AS max, {_QUANTILES} FROM observations GROUP BY 1")
+def distance_stats(spark, d):
+    return calibration.distance_stats(M.observations(spark, d))
+
+
+_LEVEL = "CASE WHEN n < 100 THEN 'none' WHEN n < 500 THEN 'low' WHEN n < 2000 THEN 'medium' ELSE 'high' END"
+_CALIBRATED = f"""stats AS (SELECT CASE WHEN grouping(language) = 1 THEN '_global' ELSE language END AS language, count(*) AS n, avg(distance) AS mean, stddev_pop(distance) AS std, {', '.join(f'quantile_cont(distance, {p}) AS p{int(p * 100)}' for p in calibration.PERCENTILES)} FROM observations GROUP BY ROLLUP (language)),
+calibrated AS (SELECT language, round(least(3.0, greatest(0.5, p90)), 6) AS max_distance, round(least(0.8, greatest(0.1, 1 / (1 + p10))), 6) AS min_similarity, {_LEVEL} AS confidence, n AS sample_count, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p95, 6) AS p95, round(mean, 6) AS mean, round(std, 6) AS std FROM stats WHERE n >= 100)"""
+
+
+@query("SELECT * FROM calibrated", _CALIBRATED)
+def calibrate_all(spark, d):
+    return calibration.calibrate(M.observations(spark, d))
+
+
+@query("""SELECT l.language, coalesce(o.max_distance, g.max_distance, 1.2) AS max_distance, coalesce(o.min_similarity, g.min_similarity, 0.3) AS min_similarity FROM (SELECT DISTINCT language FROM observations UNION ALL SELECT 'unseen') l
+LEFT JOIN (SELECT * FROM calibrated WHERE confidence IN ('medium', 'high') AND language <> '_global') o ON l.language = o.language LEFT JOIN (SELECT * FROM calibrated WHERE confidence IN ('medium', 'high') AND language = '_global') g ON TRUE""", _CALIBRATED)
+def threshold_lookup(spark, d):
+    languages = M.observations(spark, d).select("language").distinct().unionByName(spark.createDataFrame([("unseen",)], "language string"))
+    return calibration.lookup(languages, calibration.calibrate(M.observations(spark, d)))
+
+
+@query("SELECT query_no, sum(k) OVER (ORDER BY query_no)::BIGINT AS total, (sum(k) OVER (ORDER BY query_no) >= 500 AND sum(k) OVER (ORDER BY query_no) - k < 500) AS calibrate FROM (SELECT user_id AS query_no, count(*) AS k FROM events GROUP BY 1)")
+def bootstrap_progress(spark, d):
+    return calibration.running_bootstrap(M.table(spark, d, "events").select(F.col("user_id").alias("query_no")))
+
+
+# -- filters (F1-F6, P1, X9) --------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT path, {M.ext_sql('path')} AS ext, {M.ext_sql('path')} NOT IN {M.EXCLUDED_EXT_SQL} AS accepted, {M.ext_sql('path')} IN ('py', 'md') AS listed FROM files")
+def ext_filter(spark, d):
+    ext = text.extension(F.col("path"))
+    return M.files(spark, d).select("path", ext.alias("ext"), text.accepts_extension(ext).alias("accepted"), text.accepts_extension(ext, ["PY", "md"]).alias("listed"))
+
+
+@query("SELECT symbol_id, kind FROM symbols WHERE kind IN ('function', 'trait')")
+def kind_filter(spark, d):
+    return M.symbols(spark, d).filter(text.accepts_kind(F.col("kind"), ["Function", "trait", "nothing"])).select("symbol_id", "kind")
+
+
+_PATH = "CASE doc_id % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN './.hidden/' ELSE 'a/build' END || source || '/' || doc_id"
+
+
+@query(f"SELECT doc_id, len([c FOR c IN string_split({_PATH}, '/') IF c NOT IN ('', '.', '..') AND (starts_with(c, '.') OR list_contains({M.EXCLUDED_DIRS_SQL}, c))]) > 0 AS excluded FROM documents")
+def path_exclusion(spark, d):
+    return M.table(spark, d, "documents").select("doc_id", text.excluded_path(F.expr(_PATH.replace("doc_id %", "doc_id %"))).alias("excluded"))
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars * 100 > 1048576")
+def size_exclusion(spark, d):
+    return M.table(spark, d, "documents").filter(text.too_large(F.col("n_chars") * 100)).select("doc_id")
+
+
+_LANG = "map_from_entries([" + ", ".join(f"('{k}', '{v}')" for k, v in C.LANGUAGE_OF.items()) + "])"
+
+
+@query(f"SELECT path, {_LANG}[{M.ext_sql('path')}] AS language FROM files")
+def language_from_path(spark, d):
+    return M.files(spark, d).select("path", text.language(F.col("path")).alias("language"))
+
+
+@query("SELECT symbol_id, 'f' || file_id || ':' || start_line || CASE WHEN start_line = end_line THEN '' ELSE '-' || end_line END AS location FROM symbols")
+def location_strings(spark, d):
+    return M.symbols(spark, d).select("symbol_id", text.location(F.concat(F.lit("f"), F.col("file_id").cast("string")), F.col("start_line"), F.col("end_line")).alias("location"))
+
+
+@query("SELECT symbol_id, CASE WHEN start_line <= 10 THEN 10 WHEN start_line <= 25 THEN 25 WHEN start_line <= 50 THEN 50 ELSE 95 END AS stands_for FROM symbols")
+def percentile_lookup(spark, d):
+    return M.symbols(spark, d).select("symbol_id", scoring.percentile_value(F.col("start_line"), *[F.lit(x) for x in (10, 25, 50, 75, 90, 95)]).alias("stands_for"))
+
+
+# -- files, chunks, imports (S5, S6, S13, P10-P12, M1, M12) ------------------------------------------------------------------
+
+
+@query(f"SELECT file_id, array_to_string(({M.lines_sql('content')})[2:4], chr(10)) AS slice FROM files")
+def lines_slice(spark, d):
+    return M.files(spark, d).select("file_id", text.line_slice(F.col("content"), 2, 4).alias("slice"))
+
+
+@query("SELECT file_id, path, language FROM files WHERE file_id = 17")
+def point_lookup(spark, d):
+    return M.files(spark, d).filter("file_id = 17").select("file_id", "path", "language")
+
+
+@query("SELECT symbol_id, name, start_line FROM symbols WHERE file_id = 3 ORDER BY start_line, symbol_id")
+def symbols_of_file(spark, d):
+    return M.symbols(spark, d).filter("file_id = 3").orderBy("start_line", "symbol_id").select("symbol_id", "name", "start_line")
+
+
+@query("SELECT chunk_id, path, language FROM chunks WHERE embedding IS NOT NULL")
+def chunks_with_embedding(spark, d):
+    return M.chunks(spark, d).filter("embedding is not null").select("chunk_id", "path", "language")
+
+
+_CHUNKS = f"""sized AS (SELECT file_id, {M.lines_sql('content')} AS ls FROM files),
+sums AS (SELECT file_id, len(ls) AS n, list_prepend(0, [list_sum([strlen(x) + 1 FOR x IN ls[1:k]]) FOR k IN range(1, len(ls) + 1)]) AS off FROM sized WHERE len(ls) > 0),
+walk AS (SELECT file_id, n, off, 0 AS a, least(n, len([x FOR x IN off[1:] IF x < 1500])) AS b FROM sums
+  UNION ALL SELECT file_id, n, off, a2, least(n, a2 + len([x FOR x IN off[a2 + 1 :] IF x - off[a2 + 1] < 1500])) FROM (SELECT *, CASE WHEN b - 3 > a THEN b - 3 ELSE b END AS a2 FROM walk) WHERE a2 < n)"""
+
+
+@query(None)
+def chunk_lines(spark, d):
+    return parsing.parse_chunks(M.files(spark, d).withColumn("language", F.lit(None).cast("string"))).select("file_id", "start_line", "end_line", "start_byte", "end_byte")
+
+
+ORACLE_SQL["chunk_lines"] = f"""WITH RECURSIVE {M.SQL},{_CHUNKS}
+SELECT file_id, a + 1 AS start_line, b AS end_line, least(off[a + 1], total)::BIGINT AS start_byte, least(off[b + 1] - 1, total)::BIGINT AS end_byte FROM walk JOIN (SELECT file_id, strlen(content) AS total FROM files) USING (file_id)"""
+
+#: (language, line, path, name, kind); the last three null where nothing is imported.
+_IMPORT_CASES = [
+    ("rust", "use std::collections::HashMap;", "std::collections::HashMap", "HashMap", "std"), ("rust", "use crate::a::{B, C};", "crate::a::{B, C}", None, "local"), ("rust", "pub use x::y;", None, None, None), ("rust", "use serde::Serialize;", "serde::Serialize", "Serialize", "external"),
+    ("typescript", "import { a } from './utils';", "./utils", "utils", "local"), ("javascript", 'import React from "react";', "react", "react", "external"),
+    ("python", "import os, sys", "os", "os", "std"), ("python", "from .models import User", ".models", "models", "local"), ("python", "from numpy.linalg import norm", "numpy.linalg", "linalg", "external"),
+    ("go", '"fmt"', "fmt", "fmt", "std"), ("go", 'import "github.com/pkg/errors"', "github.com/pkg/errors", "errors", "external"), ("java", "import java.util.List;", "java.util.List", "List", "std"), ("java", "import com.google.common.A;", "com.google.common.A", "A", "external"),
+    ("c", "#include <stdio.h>", "stdio.h", "stdio.h", "std"), ("cpp", '#include "a/b.h"', "a/b.h", "b.h", "local"), ("ruby", "require_relative 'x/y'", "x/y", "y", "local"), ("ruby", "require 'json'", "json", "json", "external"),
+    ("csharp", "using System.Text;", "System.Text", "Text", "std"), ("kotlin", "import kotlin.math.max", "kotlin.math.max", "max", "std"), ("scala", "import scala.util.Try", "scala.util.Try", "Try", "std"), ("php", "use App\\Models\\User as U;", "App\\Models\\User", "User", "external"),
+    ("bash", "source ./lib/env.sh", "./lib/env.sh", "env.sh", "local"), ("elixir", "alias MyApp.Repo, as: R", "MyApp.Repo", "Repo", "external"), ("json", '{"a": 1}', None, None, None),
+]
+
+
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_sql_text(c[2])}, {_sql_text(c[3])}, {_sql_text(c[4])})" for k, c in enumerate(_IMPORT_CASES) if c[2]) + ") t(file_id, target_path, import_name, kind)")
+def extract_imports(spark, d):
+    rows = spark.createDataFrame([(k, c[0], c[1]) for k, c in enumerate(_IMPORT_CASES)], "file_id long, language string, content string")
+    return parsing.extract_imports(rows).select("file_id", "target_path", "import_name", "kind")
+
+
+@query(None)
+def extract_symbols(spark, d):
+    """Symbols of the documents, taken for Python and Rust sources (their few rule hits), and of fixed snippets."""
+    rows = [(-1, "rust", "fn hello() {}\n\npub struct User {\n    id: u32,\n}\n"), (-2, "python", "class User:\n    def name(self):\n        pass\n"), (-3, "go", "func Add(a int) int {\n\treturn a\n}\n")]
+    snippets = spark.createDataFrame(rows, "file_id long, language string, content string")
+    docs = M.files(spark, d).select("file_id", F.when(F.col("language") == "en", "python").otherwise("rust").alias("language"), "content")
+    return parsing.parse_symbols(snippets.unionByName(docs))
+
+
+def _perturbed(files: DataFrame) -> DataFrame:
+    """Without every 10th file, with every 7th changed, with new ones."""
+    changed = files.filter("file_id % 10 <> 0").withColumn("content", F.when(F.col("file_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return changed.unionByName(files.filter("file_id % 50 = 1").withColumn("path", F.concat(F.lit("new/"), "path")))
+
+
+_NEW = """new_files AS (SELECT path, CASE WHEN file_id % 7 = 0 THEN content || '!' ELSE content END AS content, language FROM files WHERE file_id % 10 <> 0 UNION ALL SELECT 'new/' || path, content, language FROM files WHERE file_id % 50 = 1)"""
+
+
+@query("SELECT path, CASE WHEN o.content IS NULL THEN 'added' WHEN n.content IS NULL THEN 'removed' WHEN o.content = n.content THEN 'same' ELSE 'changed' END AS change FROM files o FULL OUTER JOIN new_files n USING (path)", _NEW)
+def snapshot_diff(spark, d):
+    files = M.files(spark, d)
+    hashed = lambda df: df.withColumn("hash", store.content_hash())
+    return store.snapshot_diff(hashed(files), hashed(_perturbed(files)))
+
+
+@query("SELECT path, sha256(content) AS hash FROM new_files UNION ALL SELECT path, sha256(content) FROM files WHERE path NOT IN (SELECT path FROM new_files)", _NEW)
+def upsert_files(spark, d):
+    files = M.files(spark, d).select("path", "content")
+    return store.upsert(files, _perturbed(M.files(spark, d)).select("path", "content"), ["path"]).select("path", store.content_hash().alias("hash"))
+
+
+# -- streaming, as batches over the event log (ST1-ST4) --------------------------------------------------------------------------
+
+
+_EVENTS = "log AS (SELECT 'u' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event, event_id AS seq FROM events)"
+
+
+def _log(spark, d) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("modified")
+    return M.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), kind.alias("event"), F.col("event_id").alias("seq"))
+
+
+@query("SELECT path, event, seq FROM log QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1", _EVENTS)
+def stream_changes(spark, d):
+    return changes.last_changes(_log(spark, d))
+
+
+@query("SELECT path, seq FROM (SELECT path, event, seq FROM log QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE event <> 'deleted'", _EVENTS)
+def stream_applied(spark, d):
+    log = _log(spark, d)
+    content = changes.last_changes(log).select("path", "seq")
+    return changes.apply_changes(content.limit(0), log, content)
