@@ -50,7 +50,7 @@ class Engine:
         chunks = parsing._rows(named, parsing.chunk_source, parsing.CHUNK_ROWS.replace("file_id long", "file_id string")).withColumnRenamed("file_id", "path")
         if self.provider:
             chunks = embedding.embed(chunks, self.provider)
-        deps = parsing.extract_imports(named).select(F.col("file_id").alias("path"), "target_path", "import_name", "kind")
+        deps = parsing.extract_imports(named).select(F.col("file_id").alias("path"), F.col("line").alias("start_line"), "target_path", "import_name", "kind")
         self.store.replace_files(files, symbols=symbols, chunks=chunks, dependencies=deps)
 
     def watch(self, root: str, checkpoint: str, once: bool = False):

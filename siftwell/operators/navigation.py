@@ -23,7 +23,7 @@ def find_refs(files: DataFrame, symbols: DataFrame, name: str, limit: int = C.LI
 
 
 def imports_of(files: DataFrame, deps: DataFrame, path: str) -> DataFrame:
-    return deps.join(files.filter(F.col("path") == path).select(F.col("file_id").alias("source_file_id")), "source_file_id").select("dep_id", "target_path", "import_name", "kind")
+    return deps.join(files.filter(F.col("path") == path).select(F.col("file_id").alias("source_file_id")), "source_file_id").select("dep_id", "target_path", "import_name", "kind").orderBy("dep_id")
 
 
 def is_dependent(target: Column, name: Column) -> Column:

@@ -209,7 +209,7 @@ def transitive_imports(spark, d):
 
 
 @query(f"""SELECT 'red ring' AS name, (SELECT count(*) FROM firsts) > 0 AS found, (SELECT count(*) FROM firsts) AS n_definitions,
-(SELECT string_agg(name, '|' ORDER BY name) FROM (SELECT DISTINCT name FROM symbols WHERE file_id IN (SELECT file_id FROM firsts) AND name <> 'red ring')) AS related,
+coalesce((SELECT string_agg(name, '|' ORDER BY name) FROM (SELECT DISTINCT name FROM symbols WHERE file_id IN (SELECT file_id FROM firsts) AND name <> 'red ring')), '') AS related,
 greatest(0, (SELECT count(*) FROM (SELECT 1 FROM symbols WHERE {_FTS.replace(' red wi', ' red ring')} LIMIT 100)) - (SELECT count(*) FROM firsts)) AS usage_count""",
        "firsts AS (SELECT * FROM symbols WHERE name = 'red ring' ORDER BY symbol_id LIMIT 20)")
 def explain_symbol(spark, d):
