@@ -118,7 +118,7 @@ def vector(values) -> Column:
 
 def knn(chunks: DataFrame, query: Column, k: int, metric: str = "l2") -> DataFrame:
     """The ``k`` nearest rows with an embedding, by distance then id; an exact scan with a bounded heap per task."""
-    near = scoring.l2(F.col("embedding"), query) if metric == "l2" else 1.0 - scoring.cosine(F.col("embedding"), query)
+    near = scoring.l2(F.col("embedding"), query) if metric == "l2" else F.abs(1.0 - scoring.cosine(F.col("embedding"), query))
     return chunks.filter(F.col("embedding").isNotNull()).withColumn("distance", F.round(near, 6)).orderBy("distance", "chunk_id").limit(k)
 
 

@@ -132,9 +132,9 @@ def knn_l2(spark, d):
     return retrieval.knn(M.chunks(spark, d), _vector(spark, d), 20).select("chunk_id", "distance")
 
 
-@query("SELECT chunk_id, round(1 - list_cosine_similarity(embedding, v), 6) + 0.0 AS distance FROM chunks, q WHERE chunk_id <> 7 ORDER BY distance, chunk_id LIMIT 20", _Q)
+@query("SELECT chunk_id, abs(round(1 - list_cosine_similarity(embedding, v), 6)) AS distance FROM chunks, q ORDER BY distance, chunk_id LIMIT 20", _Q)
 def knn_cosine(spark, d):
-    return retrieval.knn(M.chunks(spark, d).filter("chunk_id <> 7"), _vector(spark, d), 20, "cosine").select("chunk_id", "distance")
+    return retrieval.knn(M.chunks(spark, d), _vector(spark, d), 20, "cosine").select("chunk_id", "distance")
 
 
 def _semantic_ctes(limit: int, far: float, least: float) -> str:
@@ -195,10 +195,10 @@ def deps_dependents(spark, d):
 
 
 @query(r"""SELECT DISTINCT path, dep_id FROM names JOIN deps ON ends_with(target_path, name) OR (stem <> '' AND ends_with(lower(target_path), stem)) WHERE name <> ''""",
-       r"""names AS (SELECT path, name, lower(CASE WHEN instr(substr(name, 2), '.') > 0 THEN regexp_replace(name, '\.[^.]*$', '') ELSE name END) AS stem FROM (SELECT path, regexp_extract(path, '[^/]*$', 0) AS name FROM (SELECT DISTINCT 'site' || target_path || '.html' AS path FROM deps WHERE source_file_id < 20)))""")
+       r"""names AS (SELECT path, name, lower(CASE WHEN instr(substr(name, 2), '.') > 0 THEN regexp_replace(name, '\.[^.]*$', '') ELSE name END) AS stem FROM (SELECT path, regexp_extract(path, '[^/]*$', 0) AS name FROM (SELECT DISTINCT 'site' || target_path || '.html' AS path FROM deps)))""")
 def all_dependents(spark, d):
-    some = M.deps(spark, d).filter("source_file_id < 20").select(F.concat(F.lit("site"), "target_path", F.lit(".html")).alias("path")).distinct()
-    return navigation.all_dependents(some, M.deps(spark, d))
+    sites = M.deps(spark, d).select(F.concat(F.lit("site"), "target_path", F.lit(".html")).alias("path")).distinct()
+    return navigation.all_dependents(sites, M.deps(spark, d))
 
 
 @query("""SELECT src, dst, min(hops)::INTEGER AS hops FROM (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src UNION ALL SELECT a.src, c.dst, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src) GROUP BY 1, 2""",

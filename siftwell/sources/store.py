@@ -9,7 +9,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -93,8 +93,10 @@ class Store:
         """Upsert files by path with fresh ids; their old children go, the given ones (by ``path``) come."""
         old = self.table("files")
         top = old.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("m")).first()["m"]
-        number = F.row_number().over(Window.orderBy("path"))  # over paths alone
-        ids = files.select("path").distinct().withColumn("file_id", top + number)
+        # ids are given out by each task for itself, and written once, as they are read several times
+        staged = f"{self.root}/.ids/{uuid.uuid4().hex}"
+        files.select("path").distinct().withColumn("file_id", top + 1 + F.monotonically_increasing_id()).write.parquet(staged)
+        ids = self.spark.read.schema("path string, file_id long").parquet(staged)
         new = files.join(ids, "path").withColumn("hash", content_hash()).withColumn("indexed_at", F.lit(int(time.time())))
         gone = old.join(files.select("path"), "path", "left_semi").select("file_id")
         out = {"files": upsert(old, new, KEYS["files"])}
@@ -104,11 +106,13 @@ class Store:
                 own = {"symbols": "symbol_id", "chunks": "chunk_id", "dependencies": "dep_id"}[name]
                 start = self.table(name).agg(F.coalesce(F.max(own), F.lit(0)).alias("m")).first()["m"]
                 rows = children[name].join(ids.withColumnRenamed("file_id", key), "path").drop("path")
-                order = [c for c in (key, "start_line", "end_line", "name", "target_path") if c in rows.columns]
-                rows = rows.withColumn(own, start + F.row_number().over(Window.orderBy(*order)))
+                order = [c for c in (key, "start_line", "end_line") if c in rows.columns]
+                # a file's rows are together and in order, so their ids are in order too
+                rows = rows.repartition(key).sortWithinPartitions(*order).withColumn(own, start + 1 + F.monotonically_increasing_id())
                 kept = kept.unionByName(rows, allowMissingColumns=True)
             out[name] = kept
         self.write(**out)
+        self._fs.delete(self._path(staged), True)
 
     def delete_files(self, paths: DataFrame) -> None:
         old = self.table("files")
