@@ -74,14 +74,14 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, fp) of each row; fp is the fingerprint's bits as a long."""
+    """(id, fp, hash) of each row; fp is the fingerprint's bits as a long, hash one of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [_signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["id", "fp", "hash"])
 
-    return docs.select(id_key().alias("id"), "text").mapInArrow(run, "id long, fp long")
+    return docs.select(id_key().alias("id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "id long, fp long, hash long")
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -172,7 +172,7 @@ def _edges(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """The table (id, fp) of rows, and the table (fp, component) of fingerprints."""
+    """The table (id, fp, hash) of rows, and the table (fp, root, component) of fingerprints; root names a class."""
     rows = stash(fingerprints(docs), "fingerprints")
     distinct = stash(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     pairs = links(distinct.select("fp"), most)
@@ -180,7 +180,7 @@ def classes(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     nodes = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"id": "fp", "component": "root"})
     known = stash(distinct.join(nodes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "nodes")
     least = stash(known.groupBy("root").agg(F.min("first").alias("component")), "least")
-    labels = stash(known.join(least, "root").select("fp", "component"), "components")
+    labels = stash(known.join(least, "root").select("fp", "root", "component"), "components")
     unstash(distinct), unstash(known), unstash(least)
     return rows, labels
 
@@ -193,13 +193,11 @@ def simhash_components(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id.
-
-    Of rows that share this doc_id one stays (they are repeats, or the same document).
-    """
+    """``docs`` with one row of each component: one with the smallest doc_id (ties: the smallest hash of the text)."""
     rows, labels = classes(docs, most)
-    heads = labels.select(F.col("component").alias("id")).distinct()
-    k, n = fresh(docs, "simhash_id", "simhash_n")
-    kept = docs.withColumn(k, id_key()).join(heads.withColumnRenamed("id", k), k, "left_semi")
-    first = Window.partitionBy(k).orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(k, n)
+    k, h, n = fresh(docs, "simhash_id", "simhash_hash", "simhash_n")
+    heads = rows.join(labels, "fp").groupBy("root").agg(F.min(F.struct("id", "hash")).alias("f"))
+    heads = stash(heads.select(F.col("f.id").alias(k), F.col("f.hash").alias(h)).distinct(), "heads")
+    kept = docs.withColumns({k: id_key(), h: F.xxhash64("text")}).join(heads, [k, h], "left_semi")
+    first = Window.partitionBy(k, h).orderBy("text")  # repeated rows only
+    return kept.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(k, h, n)
