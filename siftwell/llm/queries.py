@@ -144,8 +144,40 @@ SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, co
 FROM w LEFT JOIN cover c USING (r) LEFT JOIN owners o USING (r)
 """
 
+
+
+def _cued_sql(x: str) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{c}')" for c in license_scan.CUES) + ")"
+
+
+_TEMPLATES_SQL = ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(license_scan.TEMPLATES))
+OP9_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents),
+cut AS (SELECT *, CASE WHEN {_cued_sql("lower(text)")} THEN [x FOR x IN string_split(text, chr(10)) IF {_cued_sql("lower(x)")}] ELSE [] END AS ls FROM docs),
+cues AS (SELECT r, doc_id, path, CASE WHEN len(ls) > 1 THEN list_append(ls, array_to_string(ls, chr(10))) ELSE ls END AS units,
+  regexp_matches(path, '{license_scan.FILE_NAME}') OR (len(ls) > 0 AND 2 * len(string_split_regex(trim(array_to_string(ls, ' ')), '\\s+')) > len(string_split_regex(trim(text), '\\s+'))) AS file FROM cut),
+unit AS (SELECT r, unnest(range(len(units))) AS u, unnest(units) AS line FROM cues),
+counts AS (SELECT r, u, term, count(*) AS tf FROM (SELECT r, u, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM unit) GROUP BY ALL),
+base AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES_SQL}) v(t, license, body)) GROUP BY ALL),
+total AS (SELECT count(*)::DOUBLE AS n FROM cues WHERE len(units) > 0),
+df AS (SELECT term, count(DISTINCT r) AS df FROM counts WHERE term IN (SELECT term FROM base) GROUP BY 1),
+idf AS (SELECT DISTINCT b.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM base b LEFT JOIN df ON b.term = df.term, total),
+w AS (SELECT t, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w FROM base JOIN idf USING (term)),
+norms AS (SELECT r, u, sqrt(sum((tf * coalesce(idf, ln(1 + n) + 1)) ** 2)) AS norm FROM counts LEFT JOIN idf USING (term), total GROUP BY 1, 2),
+dots AS (SELECT c.r, c.u, w.t, w.license, sum(c.tf * i.idf * w.w) AS dot FROM counts c JOIN idf i USING (term) JOIN w USING (term) GROUP BY ALL),
+best AS (SELECT r, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (r, u) QUALIFY row_number() OVER (PARTITION BY r ORDER BY round(dot / norm, 6) DESC, license) = 1),
+own AS (SELECT c.r, doc_id, path, file, CASE WHEN score >= 0.5 THEN license END AS license, CASE WHEN score >= 0.5 THEN score END AS score FROM cues c LEFT JOIN best USING (r)),
+holders AS (SELECT * FROM (SELECT array_to_string(string_split(path, '/')[:-2], '/') AS dir, score, path AS file_path, license AS file_license FROM own WHERE file AND license IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, file_path) = 1),
+seek AS (SELECT r, k, array_to_string(string_split(path, '/')[1:k], '/') AS dir FROM (SELECT r, path, unnest(range(len(string_split(path, '/')))) AS k FROM own WHERE license IS NULL)),
+near AS (SELECT s.r, h.score AS near_score, file_path, file_license FROM seek s JOIN holders h USING (dir) QUALIFY row_number() OVER (PARTITION BY s.r ORDER BY s.k DESC) = 1)
+SELECT doc_id, path, coalesce(license, file_license) AS license, coalesce(score, near_score) AS score,
+  CASE WHEN license IS NOT NULL THEN CASE WHEN file THEN 'file' ELSE 'header' END WHEN file_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN license IS NOT NULL THEN path ELSE file_path END AS from_path
+FROM own LEFT JOIN near USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
 }
