@@ -197,24 +197,23 @@ def shared_with_previous(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def equal_windows(runs: list[bytes], span: int, gram: int) -> tuple[list[tuple], list[tuple]]:
     """(record ids, and for each the (id, smallest offset, largest offset) of repeated windows)."""
-    right_lcp, lefts, first, last, many, ids = [], [], [], [], [], []
-    low = high = None
-    before: tuple | None = None
-    lowest = 1 << 30
+    right_lcp, lefts, first, last, low, high, ids = [], [], [], [], [], [], []
+    block: dict[tuple, int] = {}  # records with the right context that the merge is at
+    size, lowest = -1, 1 << 30
     for shared, right, (left, f, e, a, b, x) in merge_runs(runs):
+        if shared < max(size, len(right)):
+            block, size = {}, len(right)
         lowest = min(lowest, shared)
-        if before == (x, f, e) and shared == len(right):  # one context, sent by several tasks
-            low, high = min(low, a), max(high, b)
-            many[-1] = low != high
-            lowest = 1 << 30 if lowest == shared else lowest
+        if (at := block.get(x)) is not None:  # one context, sent by several tasks
+            low[at], high[at] = min(low[at], a), max(high[at], b)
             continue
-        before, low, high = (x, f, e), a, b
-        right_lcp.append(min(lowest, shared)), lefts.append(left[::-1]), first.append(f), last.append(e), many.append(a != b), ids.append(x)
+        block[x] = len(ids)
+        right_lcp.append(lowest), lefts.append(left[::-1]), first.append(f), last.append(e), low.append(a), high.append(b), ids.append(x)
         lowest = 1 << 30
     n = len(ids)
     if not n:
         return [], []
-    first, last, many = np.array(first), np.array(last), np.array(many)
+    first, last, many = np.array(first), np.array(last), np.array(low) != np.array(high)
     depth = span - gram
     sizes = np.array([len(x) for x in lefts])
     grid = np.frombuffer(b"".join(x.ljust(depth, b"\0") for x in lefts), np.uint8).reshape(n, -1) if depth else np.zeros((n, 0), np.uint8)
