@@ -7,7 +7,7 @@ then probed for prefix shingles only, and a candidate is checked by position, by
 word by word against the window.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text after A-Z are lower-cased.  Null and
-empty texts have no words.  Items that repeat an item_id count once; rows that share a doc_id are
+empty texts have no words.  Items that repeat an item_id count once; the words of an item without one are hit, but it is not counted; rows that share a doc_id are
 reported row by row.  Empty tables give no hits.  Extra columns pass through or are ignored.
 """
 
