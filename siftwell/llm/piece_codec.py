@@ -34,8 +34,8 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 BLOCK_CHARS, INDEX_CHARS = 4 << 20, 1 << 20
 #: Chunks with more code points are merged with a heap of their own.
 LONG = 64
-#: Chunks remembered by a worker; at this many it starts anew.
-REMEMBER = 800_000
+#: Chunks remembered within a task; at this many it starts anew.
+REMEMBER = 400_000
 
 
 class PieceModel:
@@ -65,11 +65,11 @@ class PieceModel:
         spelled = [bytes([int(p[3:5], 16)]) if self.is_byte[i] else b"" if self.is_silent[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_ends = np.append(0, np.cumsum([len(x) for x in spelled]))
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int]
         self.reset()
 
     def reset(self) -> None:
-        self.known.clear()
+        self.known = {}
         self.flat, self.used, self.ends = np.zeros(1 << 16, np.int32), 0, [np.zeros(1, np.int64)]
 
     def ends_array(self) -> np.ndarray:
@@ -296,6 +296,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, with_ids: bool = Tr
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(ids)), pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in part]))
                 cols = [lists, pa.array(ends - begins, pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each]), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *cols[skip:]], names=schema.names)
+        model.reset()  # a worker lives on after its task, its memory should not
 
     return docs.mapInArrow(run, schema)
 
