@@ -119,9 +119,11 @@ def test_paragraphs(spark):
     assert kept[1] == text[1] and kept[2] == "" and kept[5] == text[5] and kept[6] == kept[7] == text[6] and kept[8] is None and len(kept[4]) < len(text[4]) and kept[3] == text[3]
 
 
-def test_paragraph_recall(spark):
+@pytest.mark.parametrize("small", [64, 2])
+def test_paragraph_recall(spark, small):
+    """With ``small=2`` every bucket of three or more takes the way of large ones."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = {(r["doc_id"], r["start"]) for r in paragraph_dedup.repeated_paragraphs(docs).collect()}
+    got = {(r["doc_id"], r["start"]) for r in paragraph_dedup.repeated_paragraphs(docs, small=small).collect()}
     units = []
     for r in docs.collect():
         at = 0
