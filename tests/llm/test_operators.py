@@ -309,6 +309,18 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty, F.col("source")).count() == 0
 
 
+def test_license_at_any_size(spark):
+    """A header with words of no template keeps its licence as the corpus grows."""
+    names = F.array(*[F.lit(body) for _, body in license_scan.TEMPLATES])
+    score = []
+    for n in (300, 30000):
+        text = F.when(F.col("id") % 50 == 0, "Licensed under CC BY 4.0 by Acme").otherwise(names[(F.col("id") % len(license_scan.TEMPLATES)).cast("int")])
+        rows = license_scan.scan(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")), F.lit(None).cast("string")).filter("doc_id % 50 = 0").select("license", "score").distinct().collect()
+        assert [r["license"] for r in rows] == ["CC-BY-4.0"]
+        score.append(rows[0]["score"])
+    assert abs(score[0] - score[1]) < 0.05
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------
 
 
