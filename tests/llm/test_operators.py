@@ -321,6 +321,19 @@ def test_license_at_any_size(spark):
     assert abs(score[0] - score[1]) < 0.05
 
 
+def test_wrapped_license(spark):
+    """Lines of a wrapped notice without a cue word count, in the text and in the frequencies."""
+    words, lines = license_scan.TEMPLATES[3][1].split(), [""]
+    for w in words:
+        lines = [*lines[:-1], f"{lines[-1]} {w}".strip()] if len(lines[-1]) + len(w) < 60 else [*lines, w]
+    text = "\n".join(f"# {x}" for x in lines) + "\n#\n" + "import os\n" * 40
+    bodies = F.array(*[F.lit(body) for _, body in license_scan.TEMPLATES])
+    rows = spark.range(340).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 3, text).otherwise(bodies[(F.col("id") % len(license_scan.TEMPLATES)).cast("int")]).alias("text"), F.when(F.col("id") == 0, "a/LICENSE").alias("path"))
+    rows = rows.unionByName(spark.createDataFrame([(1000, "nothing", "a/b/x.py")], rows.schema))
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.scan(rows, F.col("path")).filter("doc_id % 10 < 3").collect()}
+    assert got.pop(0) == ("MIT", "file") and got.pop(1000) == ("MIT", "inherited") and set(got.values()) == {("MIT", "header")}
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------
 
 
