@@ -140,6 +140,19 @@ def test_paragraph_recall(spark, small):
     assert want and len(want & got) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2)])
+def test_paragraph_line_equal_to_sentence(spark, order):
+    """A line that is equal to a sentence of an earlier partition is still searched for near copies."""
+    rng = random.Random(14)
+    sentence = prose(rng, 90).capitalize() + "."
+    edited = sentence.split()
+    edited[50] = "CHANGED"
+    texts = [f"{prose(rng, 12)}. {sentence} {prose(rng, 12)}.", sentence, " ".join(edited)]
+    assert brute.jaccard(brute.shingles(sentence), brute.shingles(" ".join(edited))) >= 0.8
+    rows = make(spark, [(k, texts[k], None, None, 0) for k in order])
+    assert {r["doc_id"] for r in paragraph_dedup.repeated_paragraphs(rows).collect()} == {0, 1, 2}
+
+
 def test_paragraph_edges(odd, empty):
     assert paragraph_dedup.repeated_paragraphs(odd).count() > 0 and paragraph_dedup.drop_repeats(odd).columns == odd.columns
     assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
