@@ -153,6 +153,21 @@ def test_paragraph_line_equal_to_sentence(spark, order):
     assert {r["doc_id"] for r in paragraph_dedup.repeated_paragraphs(rows).collect()} == {0, 1, 2}
 
 
+def test_finer_buckets_differ_by_band(spark):
+    """Pairs at 0.8 that a large bucket's finer ones part meet in those of another band."""
+    rng = random.Random(15)
+    rows, n = [], 200
+    for k in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(94)]
+        other = [*words]
+        other[20], other[60] = "x", "y"
+        assert brute.jaccard(brute.shingles(" ".join(words)), brute.shingles(" ".join(other))) == 0.8
+        rows += [(b, 2 * k + j, " ".join(t)) for b in range(paragraph_dedup.BANDS) for j, t in enumerate((words, other))]
+    seen = paragraph_dedup._finer(spark.createDataFrame(rows, "band long, uid long, text string"), 1)
+    met = seen.groupBy("band", F.expr("uid div 2").alias("pair")).agg(F.countDistinct("uid").alias("n")).filter("n = 2").select("pair").distinct()
+    assert met.count() == n
+
+
 def test_paragraph_edges(odd, empty):
     assert paragraph_dedup.repeated_paragraphs(odd).count() > 0 and paragraph_dedup.drop_repeats(odd).columns == odd.columns
     assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
