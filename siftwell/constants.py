@@ -16,6 +16,7 @@ DEFAULT_MAX_DISTANCE, DEFAULT_MIN_SIMILARITY = 1.2, 0.3
 MIN_SAMPLES, AUTO_MIN_SAMPLES = 100, 50
 GLOBAL_KEY = "_global"
 BUFFER_ROWS, SAMPLE_RATE, MAX_AGE_SECONDS, BOOTSTRAP_ROWS = 50, 0.1, 30 * 86_400, 500
+FILE_LIST_SECONDS = 30
 LIMITS = {"cli": 10, "search": 20, "refs": 50, "tool_cap": 1000, "http_cap": 100}
 EXPLAIN_DEFINITIONS, EXPLAIN_MENTIONS = 20, 100
 
@@ -34,13 +35,13 @@ KIND_BOOST = {
     "enum": 1.05, "type": 1.05, "module": 1.0, "constant": 0.95, "variable": 0.9,
 }
 EXTENSIONS = {
-    "rust": "rs", "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py pyi", "go": "go", "java": "java",
-    "c": "c h", "cpp": "cpp cc cxx hpp hxx hh", "php": "php phtml php3 php4 php5 php7 phps", "ruby": "rb rake gemspec",
-    "csharp": "cs", "kotlin": "kt kts", "scala": "scala sc", "html": "html htm", "json": "json", "yaml": "yaml yml",
-    "toml": "toml", "bash": "sh bash zsh", "elixir": "ex exs",
+    "rust": ["rs"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs", "cjs"], "python": ["py", "pyi"], "go": ["go"], "java": ["java"],
+    "c": ["c", "h"], "cpp": ["cpp", "cc", "cxx", "hpp", "hxx", "hh"], "php": ["php", "phtml", "php3", "php4", "php5", "php7", "phps"], "ruby": ["rb", "rake", "gemspec"],
+    "csharp": ["cs"], "kotlin": ["kt", "kts"], "scala": ["scala", "sc"], "html": ["html", "htm"], "json": ["json"], "yaml": ["yaml", "yml"],
+    "toml": ["toml"], "bash": ["sh", "bash", "zsh"], "elixir": ["ex", "exs"],
 }
 PYTHON_STD = [
     "os", "sys", "re", "json", "pathlib", "collections", "itertools", "functools", "typing", "dataclasses",
     "abc", "io", "time", "datetime", "logging", "unittest", "argparse", "subprocess", "threading", "asyncio",
 ]
-LANGUAGE_OF = {ext: name for name, exts in EXTENSIONS.items() for ext in exts.split()}
+LANGUAGE_OF = {ext: name for name, exts in EXTENSIONS.items() for ext in exts}

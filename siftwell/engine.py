@@ -7,24 +7,27 @@ from __future__ import annotations
 
 import json
 import time
-import zlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .functions import text
+from .functions import scoring, text
 from .operators import calibration, embedding, navigation, parsing, retrieval
+from .operators.collector import Collector
 from .operators.retrieval import SearchOptions
 from .sources.store import Store
-from .sources.tree import read_tree
+from .sources.tree import read_paths, read_tree
 from .streaming.changes import watch
 
 
 class Engine:
     def __init__(self, spark: SparkSession, database: str, provider: Callable[[], embedding.Provider] | None = embedding.HashedTokens):
         self.spark, self.store, self.provider = spark, Store(spark, database), provider
+        self.collector = Collector(self.store.table("observations").count())
+        self._limits: dict[str, tuple[float, float]] | None = None
 
     # -- index -------------------------------------------------------------------------------------
 
@@ -32,8 +35,8 @@ class Engine:
         """Index changed files; counts of added, changed, removed and same files."""
         if self.store.prepare_for_reindex() or force:
             self.store.clear()
-        files = read_tree(self.spark, root).withColumn("language", text.language(F.col("path"))).filter("language is not null")
-        files = files.filter(~text.excluded_path(F.col("path"))).cache()
+        # written once: a file that changes meanwhile has the content that its hash is of
+        files, staged = self._staged(read_tree(self.spark, root))
         changes = self.store.changes(files).cache()
         counts = {"added": 0, "changed": 0, "removed": 0, "same": 0} | {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         todo = files.join(changes.filter(F.col("change").isin("added", "changed")).select("path"), "path", "left_semi")
@@ -41,9 +44,17 @@ class Engine:
             self._replace(todo)
         if remove_missing and counts["removed"]:
             self.store.delete_files(changes.filter("change = 'removed'"))
-        changes.unpersist(), files.unpersist()
+        changes.unpersist()
+        self.store.drop_folder(staged)
         return counts
 
+    def _staged(self, files: DataFrame) -> tuple[DataFrame, str]:
+        """Files of known languages as a stored table, and its folder."""
+        files = files.withColumn("language", text.language(F.col("path"))).filter("language is not null")
+        folder = f".staged/{uuid.uuid4().hex}"
+        files.filter(~text.excluded_path(F.col("path"))).write.parquet(f"{self.store.root}/{folder}")
+        return self.spark.read.schema("path string, content string, size long, last_modified long, language string").parquet(f"{self.store.root}/{folder}"), folder
+
     def _replace(self, files: DataFrame) -> None:
         named = files.select(F.col("path").alias("file_id"), "content", "language")  # the path stands in for the id
         symbols = parsing._rows(named, parsing.extract_symbols, parsing.SYMBOL_ROWS.replace("file_id long", "file_id string")).withColumnRenamed("file_id", "path")
@@ -54,24 +65,27 @@ class Engine:
         self.store.replace_files(files, symbols=symbols, chunks=chunks, dependencies=deps)
 
     def watch(self, root: str, checkpoint: str, once: bool = False):
-        """Keep the index up to date with a tree; each batch re-reads what changed."""
+        """Keep the index up to date with a tree; each batch reads the files that changed, once, and no others."""
 
         def on_batch(changes: DataFrame, _: int) -> None:
             gone = changes.filter("event = 'deleted'")
             if not gone.isEmpty():
                 self.store.delete_files(gone)
-            files = read_tree(self.spark, root).withColumn("language", text.language(F.col("path"))).filter("language is not null")
-            files = files.join(changes.filter("event <> 'deleted'").select("path"), "path", "left_semi")
+            files, staged = self._staged(read_paths(changes.filter("event <> 'deleted'"), root))
             if not files.isEmpty():
                 self._replace(files)
+            self.store.drop_folder(staged)
 
         return watch(self.spark, root, on_batch, checkpoint, once=once)
 
     # -- search ------------------------------------------------------------------------------------
 
     def _thresholds(self, near: DataFrame) -> tuple[float, float]:
-        row = calibration.lookup(retrieval.dominant_language(near).select("language"), self.store.table("calibrations")).first()
-        return (row["max_distance"], row["min_similarity"]) if row else (C.DEFAULT_MAX_DISTANCE, C.DEFAULT_MIN_SIMILARITY)
+        if self._limits is None:  # a row for each language
+            self._limits = {r["language"]: (r["max_distance"], r["min_similarity"]) for r in self.store.table("calibrations").filter(scoring.sufficient(F.col("confidence"))).collect()}
+        row = retrieval.dominant_language(near).select("language").first()
+        default = self._limits.get(C.GLOBAL_KEY, (C.DEFAULT_MAX_DISTANCE, C.DEFAULT_MIN_SIMILARITY))
+        return self._limits.get(row["language"], default) if row else default
 
     def search(self, query: str, limit: int | None = None, options: SearchOptions = SearchOptions()) -> DataFrame:
         query, limit = text.validate(query), text.capped(limit, C.LIMITS["search"], C.LIMITS["tool_cap"])
@@ -101,18 +115,34 @@ class Engine:
     # -- feedback ----------------------------------------------------------------------------------
 
     def observe(self, query: str, limit: int = C.LIMITS["search"]) -> int:
-        """Record the distances of a query's candidates; the number of rows that are new."""
+        """Record the distances of a query's candidates, if it is sampled; full buffers are flushed and the end of
+        bootstrap calibrates.  The number of rows that came into the store."""
         vec = retrieval.vector(self.provider().embed([text.validate(query)])[0])
-        near = retrieval.knn(self.store.chunks_with_embedding(), vec, 2 * limit)
-        return self.store.add_observations(calibration.observe(near, zlib.crc32(query.encode()), int(time.time())))
+        near = retrieval.knn(self.store.chunks_with_embedding(), vec, 2 * limit).select("language", "distance").collect()  # 2 * limit rows
+        self.collector.record(query, [(r["language"], r["distance"]) for r in near])
+        new = self.flush_observations() if self.collector.needs_flush() else 0
+        if self.collector.should_calibrate():
+            new += self.flush_observations()
+            self.auto_calibrate()
+        return new
+
+    def flush_observations(self) -> int:
+        """Store what is buffered; the number of rows that are new."""
+        rows = self.collector.take()
+        return self.store.add_observations(self.spark.createDataFrame(rows, "language string, distance float, query_hash long, ts long")) if rows else 0
 
     def calibrate(self, language: str | None = None, min_samples: int = C.MIN_SAMPLES, dry_run: bool = False) -> DataFrame:
         rows = self.store.table("observations")
         rows = calibration.calibrate_one(rows, language, min_samples) if language else calibration.calibrate(rows, min_samples)
         if not dry_run:
             self.store.save_calibrations(rows)
+            self.reload_thresholds()
         return rows
 
+    def reload_thresholds(self) -> None:
+        """Forget the thresholds in memory; the next search reads the stored ones."""
+        self._limits = None
+
     def auto_calibrate(self) -> bool:
         """Calibrate with the automatic minimum once enough was observed; whether it did."""
         if calibration.bootstrap(self.store.table("observations").count())[0]:

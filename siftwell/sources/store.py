@@ -1,6 +1,11 @@
-"""The index as Parquet tables: each change writes new table versions, then swaps one pointer file.
+"""The index as Parquet tables: each change writes new folders, then publishes one numbered pointer file.
 
-Readers see the old tables or the new ones, never a mixture.  One writer at a time.
+A pointer names the folders of each table.  Readers take the newest pointer, so they see the old tables or the new ones,
+never a mixture, and a writer that dies before its pointer is there has changed nothing.  A pointer's number can be
+taken once: of two writers that started from the same state one fails and may try again.
+
+Files and what hangs on them are kept in ``BUCKETS`` folders by a hash of the path; ids name their bucket (``id mod
+BUCKETS``), so a change reads and writes the buckets it touches and no others.
 """
 
 from __future__ import annotations
@@ -9,13 +14,19 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import calibration
+from .files import Files
 from .schemas import CHILDREN, KEYS, TABLES
 
+BUCKETS = 64
+#: Pointers kept behind the newest one, for readers that are about to open an older one.
+KEPT_POINTERS = 8
+ID = {"files": "file_id", "symbols": "symbol_id", "chunks": "chunk_id", "dependencies": "dep_id"}
+
 
 def content_hash(column="content"):
     return F.sha2(F.col(column), 256)
@@ -33,102 +44,147 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has published a state in the meantime."""
+
+
+def bucket_of(path: str | Column = "path") -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_of_id(column: str) -> Column:
+    return F.pmod(F.col(column), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
+        self._files = Files(spark, self.root)
 
     # -- pointer ---------------------------------------------------------------------------------
 
-    def _pointer(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return {}
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect()  # one small file
-        return json.loads("".join(r["value"] for r in rows))
-
-    def _swap(self, pointer: dict[str, str]) -> None:
-        staged = self._path(f"{self.root}/.next-{uuid.uuid4().hex}")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        current = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(current, False)
-        self._fs.rename(staged, current)
+    def _state(self) -> tuple[int, dict]:
+        """(number of the newest pointer, what it names: table -> bucket -> folder)."""
+        numbers = [int(n) for n in self._files.names("pointers") if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        return max(numbers), json.loads(self._files.read(f"pointers/{max(numbers):012d}"))
 
-    def table(self, name: str) -> DataFrame:
-        version = self._pointer().get(name)
-        if version is None:
+    def _publish(self, number: int, pointer: dict) -> None:
+        if not self._files.publish(f"pointers/{number + 1:012d}", json.dumps(pointer)):
+            raise ConcurrentWrite(f"state {number + 1} is taken")
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{version}")
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def table(self, name: str) -> DataFrame:
+        return self._read(name, list(self._state()[1].get(name, {}).values()))
 
     def write(self, **tables: DataFrame) -> None:
         """New versions of some tables, visible together."""
-        pointer = self._pointer()
+        number, pointer = self._state()
         for name, df in tables.items():
-            version = f"{name}/v-{uuid.uuid4().hex}"
-            empty = self.spark.createDataFrame([], TABLES[name])
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema.fields]).write.parquet(f"{self.root}/{version}")
-            pointer[name] = version
-        self._swap(pointer)
+            pointer[name] = self._store(name, df)
+        self._publish(number, pointer)
+
+    def _store(self, name: str, df: DataFrame) -> dict[str, str]:
+        """Write rows to a new folder; bucket -> folder."""
+        version = f"{name}/v-{uuid.uuid4().hex}"
+        empty = self.spark.createDataFrame([], TABLES[name])
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+        if name not in ID:
+            rows.write.parquet(f"{self.root}/{version}")
+            return {"": version}
+        key = "file_id" if name == "files" else CHILDREN[name]
+        rows.withColumn("bucket", bucket_of_id(key)).repartition("bucket").sortWithinPartitions("bucket", ID[name]).write.partitionBy("bucket").parquet(f"{self.root}/{version}")
+        return {n.partition("=")[2]: f"{version}/{n}" for n in self._files.names(version) if n.startswith("bucket=")}
+
+    def drop_folder(self, name: str) -> None:
+        self._files.delete(name)
 
     def vacuum(self) -> None:
-        """Delete versions that the pointer does not name."""
-        live = set(self._pointer().values())
+        """Delete folders that no kept pointer names, and old pointers."""
+        numbers = sorted(n for n in self._files.names("pointers") if n.isdigit())
+        for n in numbers[: -KEPT_POINTERS]:
+            self._files.delete(f"pointers/{n}")
+        live = {"/".join(f.split("/")[:2]) for n in numbers[-1:] for fs in json.loads(self._files.read(f"pointers/{n}")).values() for f in fs.values()}
         for name in TABLES:
-            folder = self._path(f"{self.root}/{name}")
-            if self._fs.exists(folder):
-                for s in self._fs.listStatus(folder):
-                    if f"{name}/{s.getPath().getName()}" not in live:
-                        self._fs.delete(s.getPath(), True)
+            for version in self._files.names(name):
+                if f"{name}/{version}" not in live:
+                    self._files.delete(f"{name}/{version}")
 
     # -- files and what hangs on them --------------------------------------------------------------
 
     def changes(self, files: DataFrame) -> DataFrame:
         return snapshot_diff(self.table("files"), files.withColumn("hash", content_hash()))
 
+    def _touched(self, pointer: dict, name: str, buckets: set[str]) -> DataFrame:
+        return self._read(name, [f for b, f in pointer.get(name, {}).items() if b in buckets])
+
+    def _replaced(self, pointer: dict, buckets: set[str], tables: dict[str, DataFrame]) -> dict:
+        """The pointer with the touched buckets of some tables written anew."""
+        out = dict(pointer)
+        for name, df in tables.items():
+            out[name] = {b: f for b, f in pointer.get(name, {}).items() if b not in buckets} | self._store(name, df)
+        return out
+
+    def _numbered(self, name: str, rows: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
+        """Rows of (bucket, ...) with ids behind those of ``old``: dense in each bucket, in ``order``, and equal to the bucket modulo BUCKETS."""
+        own = ID[name]
+        top = old.groupBy(bucket_of_id(own).alias("bucket")).agg(F.max(F.expr(f"{own} div {BUCKETS}")).alias("top"))  # a row for each bucket
+        within = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+        rows = rows.withColumn("nth", within).join(F.broadcast(top), "bucket", "left")
+        return rows.withColumn(own, (F.coalesce("top", F.lit(0)) + F.col("nth")) * BUCKETS + F.col("bucket")).drop("nth", "top", "bucket")
+
     def replace_files(self, files: DataFrame, **children: DataFrame) -> None:
         """Upsert files by path with fresh ids; their old children go, the given ones (by ``path``) come."""
-        old = self.table("files")
-        top = old.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("m")).first()["m"]
-        # ids are given out by each task for itself, and written once, as they are read several times
-        staged = f"{self.root}/.ids/{uuid.uuid4().hex}"
-        files.select("path").distinct().withColumn("file_id", top + 1 + F.monotonically_increasing_id()).write.parquet(staged)
-        ids = self.spark.read.schema("path string, file_id long").parquet(staged)
-        new = files.join(ids, "path").withColumn("hash", content_hash()).withColumn("indexed_at", F.lit(int(time.time())))
-        gone = old.join(files.select("path"), "path", "left_semi").select("file_id")
+        number, pointer = self._state()
+        paths = files.select("path").distinct().withColumn("bucket", bucket_of())
+        buckets = {str(r["bucket"]) for r in paths.select("bucket").distinct().collect()}  # BUCKETS at most
+        if not buckets:
+            return
+        old = self._touched(pointer, "files", buckets)
+        # written once, as ids are read several times
+        staged = f".ids/{uuid.uuid4().hex}"
+        self._numbered("files", paths, old, ["path"]).write.parquet(f"{self.root}/{staged}")
+        ids = self.spark.read.schema("path string, file_id long").parquet(f"{self.root}/{staged}")
+        new = files.dropDuplicates(["path"]).join(ids, "path").withColumn("hash", content_hash()).withColumn("indexed_at", F.lit(int(time.time())))
+        gone = old.join(ids, "path", "left_semi").select("file_id")
         out = {"files": upsert(old, new, KEYS["files"])}
         for name, key in CHILDREN.items():
-            kept = self.table(name).join(gone.withColumnRenamed("file_id", key), key, "left_anti")
+            before = self._touched(pointer, name, buckets)
+            kept = before.join(gone.withColumnRenamed("file_id", key), key, "left_anti")
             if name in children:
-                own = {"symbols": "symbol_id", "chunks": "chunk_id", "dependencies": "dep_id"}[name]
-                start = self.table(name).agg(F.coalesce(F.max(own), F.lit(0)).alias("m")).first()["m"]
-                rows = children[name].join(ids.withColumnRenamed("file_id", key), "path").drop("path")
-                order = [c for c in (key, "start_line", "end_line") if c in rows.columns]
-                # a file's rows are together and in order, so their ids are in order too
-                rows = rows.repartition(key).sortWithinPartitions(*order).withColumn(own, start + 1 + F.monotonically_increasing_id())
-                kept = kept.unionByName(rows, allowMissingColumns=True)
+                rows = children[name].join(ids.withColumnRenamed("file_id", key), "path").drop("path").withColumn("bucket", bucket_of_id(key))
+                # a file's rows stand together and in order, so their ids do too
+                order = [c for c in (key, "start_line", "end_line", *sorted(set(rows.columns) - {key, "bucket", "embedding", "symbols"})) if c in rows.columns]
+                kept = kept.unionByName(self._numbered(name, rows, before, list(dict.fromkeys(order))), allowMissingColumns=True)
             out[name] = kept
-        self.write(**out)
-        self._fs.delete(self._path(staged), True)
+        self._publish(number, self._replaced(pointer, buckets, out))
+        self._files.delete(staged)
 
     def delete_files(self, paths: DataFrame) -> None:
-        old = self.table("files")
+        number, pointer = self._state()
+        buckets = {str(r["b"]) for r in paths.select(bucket_of().alias("b")).distinct().collect()}
+        old = self._touched(pointer, "files", buckets)
         gone = old.join(paths.select("path"), "path", "left_semi").select("file_id")
-        out = {name: self.table(name).join(gone.withColumnRenamed("file_id", key), key, "left_anti") for name, key in CHILDREN.items()}
-        self.write(files=old.join(paths.select("path"), "path", "left_anti"), **out)
+        out = {name: self._touched(pointer, name, buckets).join(gone.withColumnRenamed("file_id", key), key, "left_anti") for name, key in CHILDREN.items()}
+        self._publish(number, self._replaced(pointer, buckets, {"files": old.join(paths.select("path"), "path", "left_anti"), **out}))
 
     def set_embeddings(self, embedded: DataFrame) -> None:
         """(chunk_id, embedding) into chunks; other chunks keep theirs."""
+        number, pointer = self._state()
+        buckets = {str(r["b"]) for r in embedded.select(bucket_of_id("chunk_id").alias("b")).distinct().collect()}
         new = embedded.select("chunk_id", F.col("embedding").alias("new"))
-        chunks = self.table("chunks").join(new, "chunk_id", "left")
-        self.write(chunks=chunks.withColumn("embedding", F.coalesce("new", "embedding")).drop("new"))
+        chunks = self._touched(pointer, "chunks", buckets).join(new, "chunk_id", "left")
+        self._publish(number, self._replaced(pointer, buckets, {"chunks": chunks.withColumn("embedding", F.coalesce("new", "embedding")).drop("new")}))
 
     def clear(self) -> None:
         """Files and all that hangs on them; observations and calibrations stay."""
-        self.write(**{name: self.spark.createDataFrame([], TABLES[name]) for name in ("files", *CHILDREN)})
+        number, pointer = self._state()
+        self._publish(number, {n: f for n, f in pointer.items() if n not in ID})
 
     def needs_reindex(self, path: str, content: str) -> bool:
         import hashlib

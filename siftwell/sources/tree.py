@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,7 +72,11 @@ def read_tree(spark: SparkSession, root: str, files_per_task: int = 500) -> Data
     The folder must be seen by all executors.  Spark's own listing would skip names with a leading ``_``.
     """
     paths = list(walk(root))
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, -(-len(paths) // files_per_task)))
+    return read_paths(spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, -(-len(paths) // files_per_task))), root)
+
+
+def read_paths(listed: DataFrame, root: str) -> DataFrame:
+    """The same for the files named in the column ``path``; those that are gone or cannot be read have no row."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,16 +84,15 @@ def read_tree(spark: SparkSession, root: str, files_per_task: int = 500) -> Data
             for path in batch["path"]:
                 full = os.path.join(root, path)
                 try:
-                    stat = os.stat(full)
-                    if stat.st_size > C.MAX_FILE_BYTES:
-                        continue
                     with open(full, "rb") as file:
-                        rows.append((path, file.read().decode("utf-8"), stat.st_size, int(stat.st_mtime)))
+                        stat = os.fstat(file.fileno())  # of the file that is read, whatever replaces it
+                        if stat.st_size <= C.MAX_FILE_BYTES:
+                            rows.append((path, file.read().decode("utf-8"), stat.st_size, int(stat.st_mtime)))
                 except (OSError, UnicodeDecodeError):
                     continue
             yield pd.DataFrame(rows, columns=["path", "content", "size", "last_modified"])
 
-    return listed.mapInPandas(read, FILES)
+    return listed.select("path").mapInPandas(read, FILES)
 
 
 def read_slice(root: str, path: str, start: int, end: int) -> str:
@@ -103,5 +107,29 @@ def read_slice(root: str, path: str, start: int, end: int) -> str:
 
 
 def snapshot(root: str) -> dict[str, tuple[int, int]]:
-    """(mtime in ns, size) by path."""
-    return {p: (s.st_mtime_ns, s.st_size) for p in walk(root) for s in [os.stat(os.path.join(root, p))]}
+    """(mtime in ns, size) by path; files that go while they are listed are left out."""
+    out = {}
+    for p in walk(root):
+        try:
+            stat = os.stat(os.path.join(root, p))
+        except OSError:
+            continue
+        out[p] = (stat.st_mtime_ns, stat.st_size)
+    return out
+
+
+class FileList:
+    """The paths below a root, listed again once they are ``seconds`` old or after ``clear``."""
+
+    def __init__(self, root: str, seconds: float = C.FILE_LIST_SECONDS, clock=time.monotonic):
+        self.root, self.seconds, self.clock = root, seconds, clock
+        self.clear()
+
+    def clear(self) -> None:
+        self._paths: list[str] | None = None
+        self._at = 0.0
+
+    def paths(self) -> list[str]:
+        if self._paths is None or self.clock() - self._at >= self.seconds:
+            self._paths, self._at = list(walk(self.root)), self.clock()
+        return self._paths

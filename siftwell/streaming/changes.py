@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ EVENTS = "path string, event string, seq long"
 
 
 class TreeChanges(DataSource):
-    """Streaming source ``tree_changes`` (option ``path``): created, modified and deleted files since the last poll."""
+    """Streaming source ``tree_changes``: created, modified and deleted files since the last poll.
+
+    Options: ``path``, the tree; ``state``, a folder outside of it (or hidden in it) for its snapshots.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -24,30 +29,49 @@ class TreeChanges(DataSource):
         return EVENTS
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options["state"])
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    """The offset is the snapshot itself, so a restarted query goes on where it was."""
+    """The offset names a snapshot, which lies in a file of its own, so a restarted query goes on where it was."""
+
+    def __init__(self, root: str, state: str):
+        self.root, self.state = root, state
+        os.makedirs(state, exist_ok=True)
 
-    def __init__(self, root: str):
-        self.root = root
+    def _load(self, name: str) -> dict[str, tuple]:
+        if not name:
+            return {}
+        with open(os.path.join(self.state, name), encoding="utf-8") as file:
+            return {p: tuple(v) for p, v in json.load(file).items()}
+
+    @staticmethod
+    def _events(before: dict, now: dict, seq: int) -> list[tuple]:
+        events = [(p, "created" if p not in before else "modified") for p in now if before.get(p) != now[p]] + [(p, "deleted") for p in before if p not in now]
+        return [(p, e, seq + k) for k, (p, e) in enumerate(sorted(events))]
 
     def initialOffset(self) -> dict:
-        return {"seq": "0", "files": "{}"}
+        return {"seq": "0", "snapshot": ""}
 
     def read(self, start: dict) -> tuple:
-        before = {p: tuple(v) for p, v in json.loads(start["files"]).items()}
         now, seq = snapshot(self.root), int(start["seq"])
-        events = [(p, "created" if p not in before else "modified") for p in now if before.get(p) != now[p]] + [(p, "deleted") for p in before if p not in now]
-        rows = [(p, e, seq + k) for k, (p, e) in enumerate(sorted(events))]
-        end = {"seq": str(seq + len(rows)), "files": json.dumps(now)} if rows else start
-        return iter(rows), end
+        rows = self._events(self._load(start["snapshot"]), now, seq)
+        if not rows:
+            return iter(()), start
+        name = f"{seq + len(rows):016d}-{uuid.uuid4().hex}.json"
+        with open(os.path.join(self.state, f".{name}"), "w", encoding="utf-8") as file:
+            json.dump(now, file)
+        os.replace(os.path.join(self.state, f".{name}"), os.path.join(self.state, name))
+        return iter(rows), {"seq": str(seq + len(rows)), "snapshot": name}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        before, now = ({p: tuple(v) for p, v in json.loads(o["files"]).items()} for o in (start, end))
-        events = [(p, "created" if p not in before else "modified") for p in now if before.get(p) != now[p]] + [(p, "deleted") for p in before if p not in now]
-        return iter([(p, e, int(start["seq"]) + k) for k, (p, e) in enumerate(sorted(events))])
+        return iter(self._events(self._load(start["snapshot"]), self._load(end["snapshot"]), int(start["seq"])))
+
+    def commit(self, end: dict) -> None:
+        """Snapshots before that of a finished batch are not read again."""
+        for name in os.listdir(self.state):
+            if name.endswith(".json") and not name.startswith(".") and name < end["snapshot"]:
+                os.remove(os.path.join(self.state, name))
 
 
 def last_changes(events: DataFrame) -> DataFrame:
@@ -64,10 +88,14 @@ def apply_changes(current: DataFrame, events: DataFrame, content: DataFrame) ->
     return kept.unionByName(new.select(*current.columns))
 
 
-def watch(spark: SparkSession, root: str, on_batch, checkpoint: str, seconds: int = 2, once: bool = False):
-    """Call ``on_batch(changes, batch_id)`` with the last event of each path; a started query."""
+def watch(spark: SparkSession, root: str, on_batch, checkpoint: str, seconds: int = 2, once: bool = False, state: str | None = None):
+    """Call ``on_batch(changes, batch_id)`` with the last event of each path; a started query.
+
+    ``state`` is a folder that the driver sees as a plain path; that of the checkpoint if none is given.
+    """
     spark.dataSource.register(TreeChanges)
-    stream = spark.readStream.format("tree_changes").option("path", root).load()
+    state = state or os.path.join(checkpoint.removeprefix("file://"), "snapshots")
+    stream = spark.readStream.format("tree_changes").option("path", root).option("state", state).load()
     writer = stream.writeStream.foreachBatch(lambda df, n: on_batch(last_changes(df), n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 

@@ -9,8 +9,9 @@ from siftwell.engine import Engine, format_results
 from siftwell.functions.text import RequestError
 from siftwell.operators import calibration, retrieval
 from siftwell.operators.embedding import HashedTokens, Stub
-from siftwell.sources.store import Store
-from siftwell.sources.tree import read_slice, read_tree, walk
+from siftwell.operators.collector import Collector, query_hash
+from siftwell.sources.store import ConcurrentWrite, Store
+from siftwell.sources.tree import FileList, read_slice, read_tree, walk
 from siftwell.streaming import changes
 
 SOURCES = {
@@ -65,7 +66,10 @@ def test_engine(spark, tree, tmp_path):
     other = Engine(spark, str(tmp_path / "db2"))
     other.index(tree)
     assert incremental == {(r["name"], r["kind"], r["start_line"]) for r in other.store.table("symbols").collect()}
-    assert engine.observe("get_user") > 0 and engine.observe("get_user") == 0
+    engine.observe("get_user")
+    assert engine.flush_observations() > 0 == engine.flush_observations()
+    engine.observe("get_user")
+    assert engine.flush_observations() == 0  # the first observation of a query counts
     assert engine.calibrate(min_samples=1, dry_run=True).count() >= 1 and engine.store.table("calibrations").count() == 0
 
 
@@ -86,6 +90,94 @@ def test_store(spark, tmp_path):
     assert store.table("calibrations").count() == 0 and store.table("observations").count() == 1
 
 
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A writer that dies before its pointer is published changes nothing; readers never see an empty index."""
+    store = Store(spark, str(tmp_path / "s"))
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, content string, size long, last_modified long, language string")
+    store.replace_files(files(("a.rs", "one", 3, 1, "rust"), ("b.rs", "two", 3, 1, "rust")))
+    before = sorted(map(tuple, store.table("files").collect()))
+
+    def die(*_):
+        raise OSError("gone")
+
+    for step in ("_publish", "_replaced"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, die)
+            with pytest.raises(OSError):
+                store.replace_files(files(("a.rs", "changed", 7, 2, "rust")))
+        assert sorted(map(tuple, Store(spark, str(tmp_path / "s")).table("files").collect())) == before
+    store.vacuum()
+    assert sorted(map(tuple, store.table("files").collect())) == before
+    store.replace_files(files(("a.rs", "changed", 7, 2, "rust")))
+    assert {r["path"]: r["content"] for r in store.table("files").collect()} == {"a.rs": "changed", "b.rs": "two"}
+
+
+def test_store_refuses_a_second_writer(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one.set_metadata("k", "1")
+    state = two._state()
+    one.set_metadata("k", "2")
+    with pytest.raises(ConcurrentWrite):
+        two._publish(*state)
+    assert two.metadata("k") == "2"
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    kind = "path string, content string, size long, last_modified long, language string"
+    store.replace_files(spark.createDataFrame([(f"f{k}.rs", "x", 1, 1, "rust") for k in range(200)], kind),
+                        chunks=spark.createDataFrame([(f"f{k}.rs", "x", j, j) for k in range(200) for j in (1, 2)], "path string, content string, start_line long, end_line long"))
+    before = store._state()[1]
+    ids = {r["path"]: r["file_id"] for r in store.table("files").collect()}
+    assert len(set(ids.values())) == 200 and store.table("chunks").select("chunk_id").distinct().count() == 400
+    store.replace_files(spark.createDataFrame([("f7.rs", "new", 3, 2, "rust")], kind))
+    store.set_embeddings(store.table("chunks").orderBy("chunk_id").limit(1).select("chunk_id", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+    after = store._state()[1]
+    assert sum(before["files"][b] != after["files"][b] for b in before["files"]) == 1
+    assert sum(before["chunks"][b] != after["chunks"].get(b) for b in before["chunks"]) <= 2
+    now = {r["path"]: r["file_id"] for r in store.table("files").collect()}
+    assert now.pop("f7.rs") != ids.pop("f7.rs") and now == ids and store.table("chunks").count() == 398
+    store.delete_files(spark.createDataFrame([("f8.rs",)], "path string"))
+    assert store.table("files").count() == 199 and store.table("chunks").count() == 396
+
+
+def test_collector():
+    c = Collector(existing=490, rate=0.5, threshold=500, buffer_rows=20)
+    assert c.bootstrap and c.progress == 98 and c.record("a", [("rust", 0.1)] * 9 + [(None, 0.2)], 5) and c.bootstrap and not c.should_calibrate()
+    assert c.record("b", [("go", 0.3)] * 2, 6) and not c.bootstrap and c.should_calibrate() and not c.should_calibrate()
+    assert [c.should_sample() for _ in range(4)] == [True, False, True, False]
+    assert not c.needs_flush() and len(c.take()) == 11 and c.take() == []
+    assert c.record("c", [("go", 0.3)] * 20, 7) and c.needs_flush() and not c.should_calibrate()
+    assert query_hash("a") == query_hash("a") != query_hash("b")
+    assert not Collector(existing=1000, rate=0).should_sample()
+
+
+def test_file_list(tree):
+    now = [0.0]
+    listed = FileList(tree, 30, lambda: now[0])
+    first = listed.paths()
+    os.remove(os.path.join(tree, "README.md"))
+    now[0] = 29.9
+    assert listed.paths() == first
+    now[0] = 30.0
+    assert "README.md" not in listed.paths()
+
+
+def test_watch_reads_what_changed(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), None)
+    engine.watch(tree, str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert {r["path"] for r in engine.store.table("files").collect()} == {"app/_main.py", "src/shared.rs", "src/users.rs"}
+    ids = {r["path"]: r["file_id"] for r in engine.store.table("files").collect()}
+    os.remove(os.path.join(tree, "app/_main.py"))
+    with open(os.path.join(tree, "src/users.rs"), "a") as file:
+        file.write("pub fn one_more() {}\n")
+    engine.watch(tree, str(tmp_path / "cp"), once=True).awaitTermination(120)
+    now = {r["path"]: r["file_id"] for r in engine.store.table("files").collect()}
+    assert set(now) == {"src/shared.rs", "src/users.rs"} and now["src/shared.rs"] == ids["src/shared.rs"] and now["src/users.rs"] != ids["src/users.rs"]
+    assert engine.store.symbols_named("one_more").count() == 1
+    assert len(os.listdir(tmp_path / "cp/snapshots")) <= 2
+
+
 def test_knn(spark):
     rows = [(k, [i * 0.001 * k for i in range(384)]) for k in (1, 2, 3)]
     chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
