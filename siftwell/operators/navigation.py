@@ -39,17 +39,21 @@ def dependents_of(files: DataFrame, deps: DataFrame, path: str) -> DataFrame:
 
 
 def all_dependents(files: DataFrame, deps: DataFrame) -> DataFrame:
-    """(path, dep_id) for all files at once, by equality: every suffix of an import's text meets names and stems.
+    """(path, dep_id) for all files at once, by equality: suffixes of an import's text meet names and stems.
 
-    Texts over 512 characters take the same path, as names are no longer than 255; only suffixes as long as some name are made.
+    Only suffixes as long as some name or stem are made; the set of those lengths is no larger than the longest name.
     """
     base = files.select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name"))
     keys = base.select("path", F.lit(False).alias("folded"), F.col("name").alias("key")).unionByName(base.select("path", F.lit(True).alias("folded"), F.lower(F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")).alias("key"))).filter("key <> ''")
-    n = F.length("target_path")
-    both = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(255))), lambda k: F.array(
-        F.struct(F.lit(False).alias("folded"), F.substring(F.col("target_path"), n - k + 1, k).alias("key")),
-        F.struct(F.lit(True).alias("folded"), F.lower(F.substring(F.col("target_path"), n - k + 1, k)).alias("key")))))
-    suffixes = deps.filter(n > 0).select("dep_id", F.explode(both).alias("s")).select("dep_id", "s.folded", "s.key")
+    sizes = {f: sorted(r["n"] for r in rows) for f, rows in ((f, keys.filter(F.col("folded") == f).select(F.length("key").alias("n")).distinct().collect()) for f in (False, True))}
+    n, target = F.length("target_path"), F.col("target_path")
+
+    def ends(folded: bool) -> Column:
+        lengths = F.array(*[F.lit(k) for k in sizes[folded]]) if sizes[folded] else F.array().cast("array<int>")
+        whole = F.lower(target) if folded else target
+        return F.transform(F.filter(lengths, lambda k: k <= F.length(whole)), lambda k: F.struct(F.lit(folded).alias("folded"), F.substring(whole, F.length(whole) - k + 1, k).alias("key")))
+
+    suffixes = deps.filter(n > 0).select("dep_id", F.explode(F.concat(ends(False), ends(True))).alias("s")).select("dep_id", "s.folded", "s.key")
     return suffixes.join(keys, ["folded", "key"]).select("path", "dep_id").distinct()
 
 

@@ -1,8 +1,8 @@
 """Symbols, chunks and imports of source files.
 
-There is no grammar library here: symbols are recognised by line rules for each language, and blocks end
-by indentation, braces or ``end``.  Nested and single-line forms are found; declarations that spread
-over lines before their name are not.
+There is no grammar library here: symbols are recognised by rules for each language over logical lines (a line and
+those that follow while a bracket is open), and blocks end by indentation, braces or ``end``.  Strings and comments are
+blanked before brackets are counted and rules are tried, so what they hold is no code.
 """
 
 from __future__ import annotations
@@ -36,20 +36,21 @@ _C = _rules((r"^\s*(?:typedef\s+)?struct\s+NAME", "struct"), (r"^\s*(?:typedef\s
 RULES: dict[str, list[tuple[re.Pattern, str]]] = {
     "rust": _rules((r"^\s*(?:pub(?:\([^)]*\))?\s+)?MODSfn\s+NAME", "function"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+NAME", "struct"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+NAME", "enum"),
                    (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+NAME", "trait"), (r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?NAME", "class"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+NAME", "module"),
-                   (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?NAME\s*:", "constant"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+NAME", "type")),
+                   (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?NAME\s*:", "constant"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+NAME", "type"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+NAME\s*;", "import")),
     "typescript": _TS, "javascript": _TS,
-    "python": _rules((r"^\s*(?:async\s+)?def\s+NAME", "function"), (r"^\s*class\s+NAME", "class")),
+    "python": _rules((r"^\s*(?:async\s+)?def\s+NAME", "function"), (r"^\s*class\s+NAME", "class"), (r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?)", "import"),
+                     (r"^\s*from\s+\.*[\w.]*\s+import\s+\(?\s*(\w+(?:\s+as\s+\w+)?)", "import")),
     "go": _rules((r"^func\s+NAME", "function"), (r"^func\s+\([^)]*\)\s*NAME", "method"), (r"^\s*type\s+NAME", "type"), (r"^\s*const\s+NAME", "constant"), (r"^\s*var\s+NAME", "variable")),
-    "java": _rules((r"^\s*MODSclass\s+NAME", "class"), (r"^\s*MODSinterface\s+NAME", "interface"), (r"^\s*MODSenum\s+NAME", "enum"),
-                   (r"^\s+MODS(?!return\b|new\b|else\b|throw\b)[\w<>\[\], .?]+\s+NAME\s*\([^;]*\)\s*(?:throws\s+[\w, .]+)?\s*\{?\s*$", "method"), (r"^\s+MODS(?!return\b|package\b|import\b|throw\b)[\w<>\[\]?]+\s+NAME\s*(?:=[^=].*)?;", "variable")),
+    "java": _rules((r"^\s*import\s+NAME\s*;", "import"), (r"^\s*MODSclass\s+NAME", "class"), (r"^\s*MODSinterface\s+NAME", "interface"), (r"^\s*MODSenum\s+NAME", "enum"),
+                   (r"^\s+MODS(?!return\b|new\b|else\b|throw\b)[\w<>\[\], .?]+\s+NAME\s*\([^;]*\)\s*(?:throws\s+[\w, .]+)?\s*[{;]?\s*$", "method"), (r"^\s+MODS(?!return\b|package\b|import\b|throw\b)[\w<>\[\]?]+\s+NAME\s*(?:=[^=].*)?;", "variable")),
     "c": _C, "cpp": _C,
     "php": _rules((r"^\s+(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+&?NAME", "method"), (r"^\s*function\s+&?NAME", "function"), (r"^\s*MODSclass\s+NAME", "class"), (r"^\s*interface\s+NAME", "interface"),
                   (r"^\s*trait\s+NAME", "trait"), (r"^\s*enum\s+NAME", "enum"), (r"^\s*namespace\s+([\w\\]+)", "module"), (r"^\s*MODSconst\s+NAME", "constant")),
     "ruby": _rules((r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", "function"), (r"^\s*class\s+([A-Z][\w:]*)", "class"), (r"^\s*module\s+([A-Z][\w:]*)", "module"), (r"^\s*([A-Z][A-Z0-9_]*)\s*=[^=]", "constant")),
-    "csharp": _rules((r"^\s*MODSclass\s+NAME", "class"), (r"^\s*MODSstruct\s+NAME", "struct"), (r"^\s*MODSinterface\s+NAME", "interface"), (r"^\s*MODSenum\s+NAME", "enum"), (r"^\s*namespace\s+([\w.]+)", "module"),
-                     (r"^\s+MODS(?!return\b|new\b|else\b|throw\b|using\b)[\w<>\[\], .?]+\s+NAME\s*\([^;]*\)\s*\{?\s*$", "method"), (r"^\s+MODS(?!return\b|using\b)[\w<>\[\]?]+\s+NAME\s*(?:\{\s*get|=[^=].*;|;)", "variable")),
-    "kotlin": _rules((r"^\s*MODSfun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?NAME", "function"), (r"^\s*MODSinterface\s+NAME", "interface"), (r"^\s*MODSenum\s+class\s+NAME", "class"), (r"^\s*MODS(?:class|object)\s+NAME", "class"), (r"^\s*MODS(?:val|var)\s+NAME", "variable")),
-    "scala": _rules((r"^\s*MODSdef\s+NAME", "function"), (r"^\s*MODS(?:class|object)\s+NAME", "class"), (r"^\s*MODStrait\s+NAME", "trait"), (r"^\s*enum\s+NAME", "enum"), (r"^\s*MODStype\s+NAME", "type"), (r"^\s*MODS(?:val|var)\s+NAME", "variable")),
+    "csharp": _rules((r"^\s*(?:global\s+)?using\s+NAME\s*[;=]", "import"), (r"^\s*MODSclass\s+NAME", "class"), (r"^\s*MODSstruct\s+NAME", "struct"), (r"^\s*MODSinterface\s+NAME", "interface"), (r"^\s*MODSenum\s+NAME", "enum"), (r"^\s*namespace\s+([\w.]+)", "module"),
+                     (r"^\s+MODS(?!return\b|new\b|else\b|throw\b|using\b)[\w<>\[\], .?]+\s+NAME\s*\([^;]*\)\s*[{;]?\s*$", "method"), (r"^\s+MODS(?!return\b|using\b)[\w<>\[\]?]+\s+NAME\s*(?:\{\s*get|=[^=].*;|;)", "variable")),
+    "kotlin": _rules((r"^\s*import\s+([\w.]+)", "import"), (r"^\s*MODSfun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?NAME", "function"), (r"^\s*MODSinterface\s+NAME", "interface"), (r"^\s*MODSenum\s+class\s+NAME", "class"), (r"^\s*MODS(?:class|object)\s+NAME", "class"), (r"^\s*MODS(?:val|var)\s+NAME", "variable")),
+    "scala": _rules((r"^\s*import\s+(\w+)", "import"), (r"^\s*MODSdef\s+NAME", "function"), (r"^\s*MODS(?:class|object)\s+NAME", "class"), (r"^\s*MODStrait\s+NAME", "trait"), (r"^\s*enum\s+NAME", "enum"), (r"^\s*MODStype\s+NAME", "type"), (r"^\s*MODS(?:val|var)\s+NAME", "variable")),
     "html": _rules((r"^\s*<(script|style)\b", "module"), (r"^\s*<([a-zA-Z][\w-]*)", "variable")),
     "json": _rules((r"^\s*\"((?:[^\"\\]|\\.)+)\"\s*:", "variable")), "yaml": _rules((r"^\s*(?:-\s+)?([\w.-]+)\s*:(?:\s|$)", "variable")),
     "toml": _rules((r"^\s*\[+([\w.\"-]+)\]+", "struct"), (r"^\s*([\w.-]+)\s*=", "variable")),
@@ -58,9 +59,9 @@ RULES: dict[str, list[tuple[re.Pattern, str]]] = {
 }
 #: Kinds at which chunks may be cut.
 BOUNDARIES = {
-    "rust": "function struct enum trait class module", "typescript": "function variable class interface method", "javascript": "function variable class interface method", "python": "function class",
-    "go": "function method type", "java": "method class interface", "c": "function struct", "cpp": "function struct class", "php": "function method class interface trait", "ruby": "function class module",
-    "csharp": "method class struct interface", "kotlin": "function class interface", "scala": "function class trait", "html": "variable module", "json": "", "yaml": "", "toml": "struct", "bash": "function", "elixir": "function module",
+    "rust": ["function", "struct", "enum", "trait", "class", "module"], "typescript": ["function", "variable", "class", "interface", "method"], "javascript": ["function", "variable", "class", "interface", "method"], "python": ["function", "class"],
+    "go": ["function", "method", "type"], "java": ["method", "class", "interface"], "c": ["function", "struct"], "cpp": ["function", "struct", "class"], "php": ["function", "method", "class", "interface", "trait"], "ruby": ["function", "class", "module"],
+    "csharp": ["method", "class", "struct", "interface"], "kotlin": ["function", "class", "interface"], "scala": ["function", "class", "trait"], "html": ["variable", "module"], "json": [], "yaml": [], "toml": ["struct"], "bash": ["function"], "elixir": ["function", "module"],
 }
 _COMMENT = {"python": ("#",), "ruby": ("#",), "bash": ("#",), "yaml": ("#",), "toml": ("#",), "elixir": ("#",), "html": ("<!--",)}
 _INDENTED, _ENDED = {"python", "yaml"}, {"ruby", "elixir"}
@@ -71,56 +72,138 @@ def _split(source: str) -> list[str]:
     return out[:-1] if out and out[-1] == "" else out
 
 
-def _block_end(lines: list[str], at: int, language: str) -> int:
-    indent = len(lines[at]) - len(lines[at].lstrip())
+_TRIPLE = {"python": ('"""', "'''"), "kotlin": ('"""',), "scala": ('"""',), "elixir": ('"""',)}
+_QUOTES = {"rust": '"', "html": "", "json": "", "yaml": "", "toml": ""}
+
+
+def _code(lines: list[str], language: str) -> list[str]:
+    """The lines with comments gone and what stands in quotes blanked; quotes and lengths before a comment stay.
+
+    In data formats (``json`` to ``toml`` above) quotes name things and are left as they are.
+    """
+    quotes, triples = _QUOTES.get(language, "\"'`" if language in ("typescript", "javascript", "go") else "\"'"), _TRIPLE.get(language, ())
+    marks = _COMMENT.get(language, ("//",))
+    block = ("<!--", "-->") if language == "html" else None if language in ("python", "ruby", "bash", "yaml", "toml", "elixir", "json") else ("/*", "*/")
+    if language == "json":
+        marks = ()
+    out, until = [], ""
+    for line in lines:
+        kept, k, n = [], 0, len(line)
+        if until in ("\"", "'"):  # a plain string ends with its line
+            until = ""
+        while k < n:
+            if until:
+                if line.startswith(until, k):
+                    kept.append(until if until[0] in "\"'`" else " " * len(until))
+                    k += len(until)
+                    until = ""
+                else:
+                    step = 2 if line[k] == "\\" and until[0] in "\"'`" else 1
+                    kept.append(" " * min(step, n - k))
+                    k += step
+                continue
+            if block and line.startswith(block[0], k):
+                until = block[1]
+                kept.append(" " * len(block[0]))
+                k += len(block[0])
+            elif any(line.startswith(m, k) for m in marks) and not (marks == ("#",) and k and not line[k - 1].isspace()):
+                break
+            elif t := next((t for t in triples if line.startswith(t, k)), None):
+                until = t
+                kept.append(t)
+                k += 3
+            elif line[k] in quotes and not (line[k] == "'" and language in ("scala", "kotlin") and "'" not in line[k + 1 :]):
+                until = line[k]
+                kept.append(line[k])
+                k += 1
+            else:
+                kept.append(line[k])
+                k += 1
+        out.append("".join(kept))
+    return out
+
+
+def _logical(code: list[str], at: int, most: int = 60) -> tuple[str, int]:
+    """The line joined with those that follow while a round or square bracket is open, and the last of them."""
+    text_, last = code[at], at
+    depth = sum(map(text_.count, "([")) - sum(map(text_.count, ")]"))
+    while depth > 0 and last + 1 < len(code) and last - at < most:
+        last += 1
+        text_ += " " + code[last].strip()
+        depth += sum(map(code[last].count, "([")) - sum(map(code[last].count, ")]"))
+    return (text_, last) if depth <= 0 else (code[at], at)
+
+
+def _block_end(code: list[str], at: int, header: int, language: str) -> int:
+    """The last line of the block that the declaration in lines ``at`` to ``header`` opens."""
+    indent = len(code[at]) - len(code[at].lstrip())
     if language in _INDENTED or language in _ENDED:
-        last = at
-        for k in range(at + 1, len(lines)):
-            if not lines[k].strip():
+        last = header
+        for k in range(header + 1, len(code)):
+            if not code[k].strip():
                 continue
-            if len(lines[k]) - len(lines[k].lstrip()) <= indent:
-                return k if language in _ENDED and re.match(r"\s*end\b", lines[k]) else last
+            if len(code[k]) - len(code[k].lstrip()) <= indent:
+                return k if language in _ENDED and re.match(r"\s*end\b", code[k]) else last
             last = k
         return last
     depth = 0
     opened = False
-    for k in range(at, len(lines)):
-        code = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|//.*", "", lines[k])
-        for c in code:
+    for k in range(at, len(code)):
+        for c in code[k]:
             if c == "{":
                 depth, opened = depth + 1, True
             elif c == "}":
                 depth -= 1
-        if (opened and depth <= 0) or (not opened and (";" in code or k > at + 3)):
-            return k if opened or ";" in code else at
-    return len(lines) - 1 if opened else at
+        if (opened and depth <= 0) or (not opened and k >= header and (";" in code[k] or k > header + 3)):
+            return k if opened or ";" in code[k] else header
+    return len(code) - 1 if opened else header
+
+
+_C_TYPE = re.compile(r"^[A-Za-z_][\w\s\*:<>,&]*$")
+_C_NAME = re.compile(r"^[A-Za-z_~][\w:~]*\s*\(")
 
 
 def extract_symbols(source: str, language: str) -> list[dict]:
     """Symbols in order of lines; the parent is the name of the nearest symbol whose block encloses the line."""
     lines = _split(source)
+    code = _code(lines, language)
     offsets = [0]
     for x in lines:
         offsets.append(offsets[-1] + len(x.encode()) + 1)
     marks = _COMMENT.get(language, ("//", "/*", "*"))
     out: list[dict] = []
     open_: list[dict] = []
+    inside = -1  # last line of the header that is being read
     for k, line in enumerate(lines):
-        if line.lstrip().startswith(marks):
+        if k <= inside or not code[k].strip():
             continue
+        begin = k
+        joined, last = _logical(code, k)
+        if language in ("c", "cpp") and k and _C_NAME.match(code[k]) and _C_TYPE.match(code[k - 1]) and code[k - 1].strip() and code[k - 1].strip() not in ("else", "do", "public:", "private:"):
+            begin, joined = k - 1, code[k - 1].rstrip() + " " + joined  # the type stands on a line of its own
         for rule, kind in RULES.get(language, ()):
-            if m := rule.match(line):
-                while open_ and open_[-1]["end_line"] < k + 1:
+            if m := rule.match(joined) or (last > k and rule.match(code[k])):
+                if m.string == joined:
+                    inside = last
+                while open_ and open_[-1]["end_line"] < begin + 1:
                     open_.pop()
-                end = _block_end(lines, k, language)
-                above = k
+                if kind == "method" and language in ("java", "csharp") and open_ and open_[-1]["name"] == m[1]:
+                    continue  # a constructor
+                end = max(last if m.string == joined else k, _block_end(code, begin, last if m.string == joined else k, language)) if kind != "import" else last
+                above = begin
                 while above and lines[above - 1].lstrip().startswith(marks) and not lines[above - 1].lstrip().startswith(("#!", "#[", "#include")):
                     above -= 1
-                first = line.strip() if len(line.lstrip()) <= 200 else (line.lstrip()[:200] + "...").strip()
-                sym = {"name": m[1].strip(), "kind": kind, "start_line": k + 1, "end_line": end + 1, "start_byte": offsets[k] + len(line.encode()) - len(line.lstrip().encode()), "end_byte": offsets[end] + len(lines[end].encode()),
-                       "signature": first, "doc_comment": "\n".join(x.strip() for x in lines[above:k]) or None, "parent": open_[-1]["name"] if open_ else None}
+                head = lines[begin].lstrip()
+                first = head.strip() if len(head) <= 200 else (head[:200] + "...").strip()
+                name = re.sub(r"\s+", " ", m[1].strip())
+                if '"' in name or language in _QUOTES and m.string == joined and begin == last:
+                    again = rule.match(line)  # names within quotes come from the line as it is
+                    name = again[1].strip() if again else name
+                sym = {"name": name, "kind": kind, "start_line": begin + 1, "end_line": end + 1, "start_byte": offsets[begin] + len(lines[begin].encode()) - len(head.encode()), "end_byte": offsets[end] + len(lines[end].encode()),
+                       "signature": first, "doc_comment": "\n".join(x.strip() for x in lines[above:begin]) or None, "parent": open_[-1]["name"] if open_ else None}
                 out.append(sym)
-                open_.append(sym)
+                if kind != "import":
+                    open_.append(sym)
                 break
     return out
 
@@ -163,18 +246,22 @@ def chunk(source: str, boundaries: list[tuple[int, str]], size: int = C.CHUNK_BY
 
 
 def chunk_source(source: str, language: str, size: int = C.CHUNK_BYTES) -> list[dict]:
-    kinds = BOUNDARIES.get(language, "").split()
+    kinds = BOUNDARIES.get(language, [])
     return chunk(source, [(s["start_line"] - 1, s["name"]) for s in extract_symbols(source, language) if s["kind"] in kinds], size)
 
 
-# -- imports: one pattern for each language; the path is its first non-empty group -----------------------
+# -- imports: one pattern for each language over the whole text; the path is its first non-empty group --------
 
+_LINE = r"(?m)^[ \t]*"
+_TS_IMPORT = _LINE + r"import\b(?:[^;'\"]*?\bfrom)?[ \t\r\n]*['\"]([^'\"\r\n]+)['\"]"
+_INCLUDE = _LINE + r"#[ \t]*include[ \t]+(?:\"([^\"\r\n]+)\"|<([^>\r\n]+)>)"
 IMPORTS = {
-    "rust": r"^\s*use\s+(.+?)\s*;\s*$", "typescript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]", "javascript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]",
-    "python": r"^\s*(?:from\s+(\.*[\w.]*)\s+import\b|import\s+([\w.]+))", "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$", "java": r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;",
-    "c": r"^\s*#\s*include\s+(?:\"([^\"]+)\"|<([^>]+)>)", "cpp": r"^\s*#\s*include\s+(?:\"([^\"]+)\"|<([^>]+)>)", "php": r"^\s*use\s+([^;]+?)(?:\s+as\s+\w+)?\s*;",
-    "ruby": r"^\s*require(?:_relative)?\s*\(?\s*['\"]([^'\"]+)['\"]", "csharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "kotlin": r"^\s*import\s+([\w.]+?)(?:\.\*)?(?:\s+as\s+\w+)?\s*;?\s*$",
-    "scala": r"^\s*import\s+(.+?)\s*$", "bash": r"^\s*(?:source|\.)\s+[\"']?([^\s\"']+)", "elixir": r"^\s*(?:import|alias|use|require)\s+(\S+?),?(?:\s|$)",
+    "rust": _LINE + r"use\s+([^;]+?)\s*;", "typescript": _TS_IMPORT, "javascript": _TS_IMPORT,
+    "python": _LINE + r"(?:from[ \t]+(\.*[\w.]*)[ \t]+import\b|import[ \t]+([\w.]+))", "go": _LINE + r"(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"([^\"\r\n]+)\"[ \t]*\r?$",
+    "java": _LINE + r"import[ \t]+(?:static[ \t]+)?([\w.]+?)(?:\.\*)?[ \t]*;", "c": _INCLUDE, "cpp": _INCLUDE, "php": _LINE + r"use\s+([^;()]+?)(?:\s+as\s+\w+)?\s*;",
+    "ruby": _LINE + r"require(?:_relative)?[ \t]*\(?[ \t]*['\"]([^'\"\r\n]+)['\"]", "csharp": _LINE + r"using[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;",
+    "kotlin": _LINE + r"import[ \t]+([\w.]+?)(?:\.\*)?(?:[ \t]+as[ \t]+\w+)?[ \t]*;?[ \t]*\r?$", "scala": _LINE + r"import[ \t]+([^\r\n]+?)[ \t]*\r?$",
+    "bash": _LINE + r"(?:source|\.)[ \t]+[\"']?([^\s\"']+)", "elixir": _LINE + r"(?:import|alias|use|require)[ \t]+([^\s,]+)",
 }
 
 
@@ -208,16 +295,29 @@ def import_name(language: Column, path: Column) -> Column:
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    """(file_id, line, target_path, import_name, kind), by expressions alone; files have content and language."""
-    language, line = F.col("language"), F.col("line")
-    rows = files.filter(language.isin(list(IMPORTS))).select("file_id", "language", F.posexplode(text.lines(F.col("content"))).alias("pos", "line"))
-    path = F.lit(None).cast("string")
+    """(file_id, line, target_path, import_name, kind), by expressions alone; files have content and language.
+
+    Patterns run over whole texts, so imports that spread over lines are found; ``line`` is the first of them.
+    """
+    language, content = F.col("language"), F.col("content")
+    rows = files.filter(language.isin(list(IMPORTS)) & content.isNotNull()).select("file_id", "language", "content")
+    row = "array<struct<line:int,hit:string,path:string>>"
+    found = F.array().cast(row)
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     for name, pattern in IMPORTS.items():
-        groups = re.compile(pattern).groups
-        found = F.coalesce(*[F.when(F.regexp_extract(line, pattern, g) != "", F.regexp_extract(line, pattern, g)) for g in range(1, groups + 1)])
-        path = F.when(language == name, found).otherwise(path)
-    rows = rows.withColumn("target_path", path).filter(F.col("target_path").isNotNull())
-    return rows.select("file_id", (F.col("pos") + 1).alias("line"), "target_path", import_name(language, F.col("target_path")).alias("import_name"), import_kind(language, F.col("target_path"), line).alias("kind"))
+        hits = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+        paths = F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
+        for g in range(2, re.compile(pattern).groups + 1):
+            paths = F.zip_with(paths, F.regexp_extract_all(content, F.lit(pattern), F.lit(g)), lambda a, b: F.when(a != "", a).otherwise(b))
+        steps = F.zip_with(F.slice(F.split(content, pattern, -1), 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), paths.alias("path")), lambda gap, x: F.struct(gap.alias("gap"), x["hit"].alias("hit"), x["path"].alias("path")))
+        zero = F.struct(F.lit(1).alias("at"), F.array().cast(row).alias("out"))
+        placed = F.aggregate(steps, zero, lambda acc, x: F.struct(
+            (acc["at"] + newlines(x["gap"]) + newlines(x["hit"])).alias("at"),
+            F.array_append(acc["out"], F.struct((acc["at"] + newlines(x["gap"])).alias("line"), x["hit"].alias("hit"), x["path"].alias("path"))).alias("out")), lambda acc: acc["out"])
+        found = F.when((language == name) & content.rlike(pattern), placed).otherwise(found)
+    rows = rows.select("file_id", "language", F.explode(found).alias("x")).select("file_id", "language", "x.line", "x.hit", F.col("x.path").alias("target_path"))
+    path = F.col("target_path")
+    return rows.select("file_id", F.col("line").cast("long").alias("line"), "target_path", import_name(language, path).alias("import_name"), import_kind(language, path, F.col("hit")).alias("kind"))
 
 
 SYMBOL_ROWS = "file_id long, name string, kind string, start_line long, end_line long, start_byte long, end_byte long, signature string, doc_comment string, parent string"

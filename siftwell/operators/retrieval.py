@@ -6,8 +6,11 @@ plans rely on are total, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +31,17 @@ class SearchOptions:
         return C.DEFAULT_MIN_SCORE if self.min_score is None else min(1.0, max(0.0, self.min_score))
 
 
-def _numbered_lines(files: DataFrame, keep: Column) -> DataFrame:
-    """(all columns but content, line_number, line) of trimmed, searchable lines of files that ``keep`` lets pass."""
+def _numbered_lines(files: DataFrame, keep: Column, maybe: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(all columns but content, line_number, line) of trimmed, searchable lines of files that ``keep`` lets pass.
+
+    Lines for which ``maybe`` is false of the raw line are dropped before they become rows and are trimmed.
+    """
     others = [c for c in files.columns if c != "content"]
-    rows = files.filter(keep).select(*others, F.posexplode(text.lines(F.col("content"))).alias("pos", "raw"))
-    rows = rows.select(*others, (F.col("pos") + 1).cast("long").alias("line_number"), text.trim(F.col("raw")).alias("line"))
+    numbered = F.transform(text.lines(F.col("content")), lambda x, k: F.struct((k + 1).cast("long").alias("line_number"), x.alias("raw")))
+    if maybe is not None:
+        numbered = F.filter(numbered, lambda x: maybe(x["raw"]))
+    rows = files.filter(keep).select(*others, F.explode(numbered).alias("x"))
+    rows = rows.select(*others, "x.line_number", text.trim(F.col("x.raw")).alias("line"))
     return rows.filter(scoring.searchable(F.col("line")))
 
 
@@ -50,7 +59,7 @@ def line_search(files: DataFrame, pattern: str, mode: str = "literal") -> DataFr
         found = "(?i)" + (rf"\b{quoted}\b" if mode == "word" else pattern)
         test = lambda c: c.rlike(found)
     whole = test(F.col("content")) if mode == "literal" else F.lit(True)  # anchors hold for lines only
-    rows = _numbered_lines(files, whole).filter(test(F.col("line")))
+    rows = _numbered_lines(files, whole, None if mode == "regex" else test).filter(test(F.col("line")))
     return rows.withColumn("score", F.round(scoring.line_score(F.col("line"), F.lit(pattern)), C.DIGITS))
 
 
@@ -64,7 +73,13 @@ def term_matches(files: DataFrame, terms: list[str]) -> DataFrame:
     for k in range(len(terms) - 1, -1, -1):
         owner = F.when(has[k], k).otherwise(owner)
         score = F.when(has[k], scoring.line_score(F.col("line"), F.lit(terms[k]))).otherwise(score)
-    return _numbered_lines(files, any_file).filter(has_any).select("*", owner.alias("term_ord"), F.round(score, C.DIGITS).alias("score"))
+    def maybe(raw: Column) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            out = out | F.lower(raw).contains(t.lower())
+        return out
+
+    return _numbered_lines(files, any_file, maybe).filter(has_any).select("*", owner.alias("term_ord"), F.round(score, C.DIGITS).alias("score"))
 
 
 def text_strategy(files: DataFrame, terms: list[str], limit: int, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -122,6 +137,50 @@ def knn(chunks: DataFrame, query: Column, k: int, metric: str = "l2") -> DataFra
     return chunks.filter(F.col("embedding").isNotNull()).withColumn("distance", F.round(near, 6)).orderBy("distance", "chunk_id").limit(k)
 
 
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, chunk_id, distance): the ``k`` nearest rows of each row of ``queries`` (query_id, embedding), by distance then id.
+
+    Both sides are packed into blocks of vectors; each block of queries meets each block of rows in one matrix product,
+    which keeps ``k`` rows a query, and those are ranked again over all blocks.  Exact, and the rows that leave a
+    block do not depend on how alike the vectors are.
+    """
+    def pack(df: DataFrame, key: str, side: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                rows = flat.reshape(len(ids), -1)
+                for lo in range(0, len(ids), block):
+                    part = ids[lo : lo + block]
+                    yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([rows[lo : lo + block].tobytes()], pa.binary())], names=[f"{side}_ids", f"{side}_rows"])
+
+        kept = df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("long"), "embedding")
+        return kept.mapInArrow(run, f"{side}_ids binary, {side}_rows binary")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a_ids, a_rows, b_ids, b_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                qi, ci = np.frombuffer(a_ids, np.int64), np.frombuffer(b_ids, np.int64)
+                q, c = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((a_rows, qi), (b_rows, ci)))
+                rough = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T)
+                m = min(k, len(ci))
+                # all that rounding may place among the first m; their distances are taken from the differences
+                reach = np.partition(rough, m - 1, axis=1)[:, m - 1] + 1e-4 * (1 + np.abs(rough).max(axis=1) ** 0.5)
+                at, near = np.nonzero(rough <= reach[:, None])
+                d = np.round(np.sqrt(((q[at] - c[near]) ** 2).sum(1)), 6)
+                order = np.lexsort((ci[near], d, at))
+                at, near, d = at[order], near[order], d[order]
+                first = np.searchsorted(at, at)
+                keep = np.arange(len(at)) - first < k
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at[keep]]), pa.array(ci[near[keep]]), pa.array(d[keep])], names=["query_id", "chunk_id", "distance"])
+
+    # blocks, not rows: a query set against all rows
+    pairs = pack(queries, "query_id", "q").crossJoin(pack(chunks, "chunk_id", "c"))
+    found = pairs.mapInArrow(nearest, "query_id long, chunk_id long, distance double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return found.withColumn("rank", best).filter(F.col("rank") <= k).drop("rank")
+
+
 def dominant_language(near: DataFrame, n: int = 5) -> DataFrame:
     """The commonest language among the ``n`` nearest; ties go to the first name."""
     first = near.orderBy("distance", "chunk_id").limit(n).filter(F.col("language").isNotNull())

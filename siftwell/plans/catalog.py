@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import expansion, scoring, text
 from ..operators import calibration, navigation, parsing, retrieval
 from ..operators.retrieval import SearchOptions
+from ..session import scratch_root
 from ..sources import store
 from ..streaming import changes
 from . import model as M
@@ -137,6 +139,14 @@ def knn_cosine(spark, d):
     return retrieval.knn(M.chunks(spark, d), _vector(spark, d), 20, "cosine").select("chunk_id", "distance")
 
 
+@query("""SELECT query_id, chunk_id, distance FROM (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_distance(c.embedding, q.embedding), 6) AS distance FROM chunks c, chunks q WHERE q.chunk_id % 20 = 0)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 10""")
+def knn_batch(spark, d):
+    """The query set is every vector whose id is divisible by 20, against all vectors."""
+    queries = M.chunks(spark, d).filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return retrieval.knn_batch(M.chunks(spark, d), queries, 10)
+
+
 def _semantic_ctes(limit: int, far: float, least: float) -> str:
     return f"""{_NEAR},
 wide AS (SELECT *, round(1 / (1 + distance), 6) AS score FROM near ORDER BY distance, chunk_id LIMIT {2 * limit}),
@@ -202,9 +212,11 @@ def all_dependents(spark, d):
 
 
 @query("""SELECT src, dst, min(hops)::INTEGER AS hops FROM (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src UNION ALL SELECT a.src, c.dst, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src) GROUP BY 1, 2""",
-       "e AS (SELECT DISTINCT source_file_id AS src, (source_file_id * 7 + dep_id) % 500 AS dst FROM deps)")
+       "e AS (SELECT DISTINCT target_path AS src, lead(target_path) OVER (PARTITION BY source_file_id ORDER BY dep_id) AS dst FROM deps QUALIFY dst IS NOT NULL)")
 def transitive_imports(spark, d):
-    edges = M.deps(spark, d).select(F.col("source_file_id").alias("src"), ((F.col("source_file_id") * 7 + F.col("dep_id")) % 500).alias("dst"))
+    """Edges from each link of a page to the next one on it."""
+    after = F.lead("target_path").over(Window.partitionBy("source_file_id").orderBy("dep_id"))
+    edges = M.deps(spark, d).select(F.col("target_path").alias("src"), after.alias("dst")).filter("dst is not null")
     return navigation.transitive_imports(edges.distinct(), 3)
 
 
@@ -224,25 +236,31 @@ def index_stats(spark, d):
 
 # -- query expansion (X1-X5) ----------------------------------------------------------------------------------------
 
-_EXPANSIONS = {
-    "get_user": "getUser", "getUser": "get_user", "HelloWorld": "hello_world", "hello-world": "hello_world,helloWorld", "getUserByID": "get_user_by_i_d", "HTTPServer": "", "HELLO": "", "test": "",
-    "_private": "Private", "my_Var-name": "myVar-name,my__var-name,my_Var_name,myVarName", "a_b cD EfG": "aB,c_d,ef_g,efG", "snake_case other_thing": "snakeCase,otherThing",
-}
-_VARIANTS = {"get_user": "getUser,GetUser", "getUser": "get_user", "HelloWorld": "hello_world,helloWorld", "a-b": "a_b,aB", "plain": ""}
+#: Identifiers of two words in four spellings, from the names of parts ("red ring"), and what they expand to.
+_SPELLED = """
+words AS (SELECT p_partkey, p_partkey % 4 AS form, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part),
+forms AS (SELECT *, upper(a[1]) || a[2:] AS aa, upper(b[1]) || b[2:] AS bb FROM words),
+terms AS (SELECT p_partkey, CASE form WHEN 0 THEN a || '_' || b WHEN 1 THEN a || bb WHEN 2 THEN aa || bb ELSE a || '-' || b END AS term,
+  CASE form WHEN 0 THEN [a || bb, aa || bb] WHEN 1 THEN [a || '_' || b] WHEN 2 THEN [a || '_' || b, a || bb] ELSE [a || '_' || b, a || bb] END AS variants FROM forms)"""
 
 
-def _values(rows: dict[str, str], a: str, b: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in rows.items())}) t({a}, {b})"
+def _spelled(spark, d) -> DataFrame:
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    form = F.col("p_partkey") % 4
+    term = F.when(form == 0, F.concat(a, F.lit("_"), b)).when(form == 1, F.concat(a, F.initcap(b))).when(form == 2, F.concat(F.initcap(a), F.initcap(b))).otherwise(F.concat(a, F.lit("-"), b))
+    return M.table(spark, d, "part").select("p_partkey", term.alias("term"))
 
 
-@query(_values(_EXPANSIONS, "query", "terms"))
+@query("""SELECT p_partkey, term || ' ' || term AS query, array_to_string(list_filter([variants[1], CASE WHEN lower(variants[2]) <> lower(variants[1]) THEN variants[2] END], lambda v: lower(v) <> lower(term || ' ' || term)), ',') AS terms FROM terms""", _SPELLED)
 def expand_query(spark, d):
-    return spark.createDataFrame([(q,) for q in _EXPANSIONS], "query string").select("query", F.array_join(expansion.expand_col(F.col("query")), ",").alias("terms"))
+    """Each identifier twice in a query: what only repeats in another case is left out."""
+    rows = _spelled(spark, d).select("p_partkey", F.concat_ws(" ", "term", "term").alias("query"))
+    return rows.select("p_partkey", "query", F.array_join(expansion.expand_col(F.col("query")), ",").alias("terms"))
 
 
-@query(_values(_VARIANTS, "term", "variants"))
+@query("SELECT p_partkey, term, array_to_string(variants, ',') AS variants FROM terms", _SPELLED)
 def case_variants(spark, d):
-    return spark.createDataFrame([(q,) for q in _VARIANTS], "term string").select("term", F.array_join(expansion.variants_col(F.col("term")), ",").alias("variants"))
+    return _spelled(spark, d).select("p_partkey", "term", F.array_join(expansion.variants_col(F.col("term")), ",").alias("variants"))
 
 
 # -- observations and calibration (M9, M10, K1-K6) -------------------------------------------------------------------
@@ -375,35 +393,80 @@ def chunk_lines(spark, d):
 ORACLE_SQL["chunk_lines"] = f"""WITH RECURSIVE {M.SQL},{_CHUNKS}
 SELECT file_id, a + 1 AS start_line, b AS end_line, least(off[a + 1], total)::BIGINT AS start_byte, least(off[b + 1] - 1, total)::BIGINT AS end_byte FROM walk JOIN (SELECT file_id, strlen(content) AS total FROM files) USING (file_id)"""
 
-#: (language, line, path, name, kind); the last three null where nothing is imported.
-_IMPORT_CASES = [
-    ("rust", "use std::collections::HashMap;", "std::collections::HashMap", "HashMap", "std"), ("rust", "use crate::a::{B, C};", "crate::a::{B, C}", None, "local"), ("rust", "pub use x::y;", None, None, None), ("rust", "use serde::Serialize;", "serde::Serialize", "Serialize", "external"),
-    ("typescript", "import { a } from './utils';", "./utils", "utils", "local"), ("javascript", 'import React from "react";', "react", "react", "external"),
-    ("python", "import os, sys", "os", "os", "std"), ("python", "from .models import User", ".models", "models", "local"), ("python", "from numpy.linalg import norm", "numpy.linalg", "linalg", "external"),
-    ("go", '"fmt"', "fmt", "fmt", "std"), ("go", 'import "github.com/pkg/errors"', "github.com/pkg/errors", "errors", "external"), ("java", "import java.util.List;", "java.util.List", "List", "std"), ("java", "import com.google.common.A;", "com.google.common.A", "A", "external"),
-    ("c", "#include <stdio.h>", "stdio.h", "stdio.h", "std"), ("cpp", '#include "a/b.h"', "a/b.h", "b.h", "local"), ("ruby", "require_relative 'x/y'", "x/y", "y", "local"), ("ruby", "require 'json'", "json", "json", "external"),
-    ("csharp", "using System.Text;", "System.Text", "Text", "std"), ("kotlin", "import kotlin.math.max", "kotlin.math.max", "max", "std"), ("scala", "import scala.util.Try", "scala.util.Try", "Try", "std"), ("php", "use App\\Models\\User as U;", "App\\Models\\User", "User", "external"),
-    ("bash", "source ./lib/env.sh", "./lib/env.sh", "env.sh", "local"), ("elixir", "alias MyApp.Repo, as: R", "MyApp.Repo", "Repo", "external"), ("json", '{"a": 1}', None, None, None),
-]
+def _sources(spark, d) -> DataFrame:
+    """A source file for each part, in eight languages, around names made of the part's."""
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    k = F.col("p_partkey").cast("string")
+    name = F.concat_ws("_", a, b)
+    lines = lambda *x: F.concat_ws("\n", *[F.concat(*[F.lit(y) if isinstance(y, str) else y for y in part]) for part in x])
+    rust = lines(["use crate::", a, "::{"], ["    ", b, ","], ["    Other", "};"], ["use ", a, ";"], ["/// Says ", b, "."], ["pub fn ", name, "("], ["    x: u32, // fn no(", ") {"], [") -> u32 {"], ['    let s = "fn never() {";'], ["    x"], ["}"], ["struct S", k, " {"], ["    v: u32,"], ["}"])
+    typescript = lines(["import {"], ["  ", a, ","], ["} from './", b, "';"], ["export const ", name, " = (", "x: number", ") => {"], ["  return x;"], ["};"], ["const c", k, " = { debug: true };"])
+    python = lines(["from .", a, " import ("], ["    ", b, ","], [")"], ["import os"], ["class C", k, ":"], ['    """def never(): ', b, '"""'], ["    def ", name, "("], ["        self,"], ["    ):"], ["        pass"])
+    go = lines(["import ("], ['\t"fmt"'], ['\tx "example.org/', a, "/", b, '"'], [")"], ["type T", k, " struct {"], ["\tV int"], ["}"], ["func (t *T", k, ") ", name, "() int {"], ["\treturn 1"], ["}"])
+    java = lines(["import java.util.", F.initcap(a), ";"], ["public class C", k, " {"], ["    public C", k, "(int v) {"], ["    }"], ["    public int ", name, "("], ["        int n"], ["    ) {"], ["        return n;"], ["    }"], ["}"])
+    c = lines(["#include <", a, ".h>"], ['#include "', a, "/", b, '.h"'], ["static int"], [name, "(int n)"], ["{"], ['    puts("}");'], ["    return n;"], ["}"])
+    ruby = lines(["require_relative '", a, "/", b, "'"], ["module M", k], ["  def ", name, "?(x)"], ["    x"], ["  end"], ["end"])
+    php = lines(["<?php"], ["use App\\", F.initcap(a), "\\", F.initcap(b), " as U;"], ["class C", k, " {"], ["    public function ", name, "() {"], ["    }"], ["}"])
+    languages = ["rust", "typescript", "python", "go", "java", "c", "ruby", "php"]
+    form = F.col("p_partkey") % len(languages)
+    content = F.array(rust, typescript, python, go, java, c, ruby, php)[form.cast("int")]
+    return M.table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.array(*[F.lit(x) for x in languages])[form.cast("int")].alias("language"), content.alias("content"))
+
+
+_NAMES = """
+named AS (SELECT p_partkey AS file_id, p_partkey % 8 AS form, p_partkey::VARCHAR AS k, a, b, a || '_' || b AS n, upper(a[1]) || a[2:] AS aa, upper(b[1]) || b[2:] AS bb FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part))"""
+
+
+@query("""SELECT file_id, x.line::BIGINT AS line, x.target_path, x.import_name, x.kind FROM (SELECT file_id, unnest(CASE form
+WHEN 0 THEN [{'line': 1, 'target_path': 'crate::' || a || '::{' || chr(10) || '    ' || b || ',' || chr(10) || '    Other}', 'import_name': NULL, 'kind': 'local'}, {'line': 4, 'target_path': a, 'import_name': a, 'kind': 'external'}]
+WHEN 1 THEN [{'line': 1, 'target_path': './' || b, 'import_name': b, 'kind': 'local'}]
+WHEN 2 THEN [{'line': 1, 'target_path': '.' || a, 'import_name': a, 'kind': 'local'}, {'line': 4, 'target_path': 'os', 'import_name': 'os', 'kind': 'std'}]
+WHEN 3 THEN [{'line': 2, 'target_path': 'fmt', 'import_name': 'fmt', 'kind': 'std'}, {'line': 3, 'target_path': 'example.org/' || a || '/' || b, 'import_name': b, 'kind': 'external'}]
+WHEN 4 THEN [{'line': 1, 'target_path': 'java.util.' || aa, 'import_name': aa, 'kind': 'std'}]
+WHEN 5 THEN [{'line': 1, 'target_path': a || '.h', 'import_name': a || '.h', 'kind': 'std'}, {'line': 2, 'target_path': a || '/' || b || '.h', 'import_name': b || '.h', 'kind': 'local'}]
+WHEN 6 THEN [{'line': 1, 'target_path': a || '/' || b, 'import_name': b, 'kind': 'local'}]
+ELSE [{'line': 2, 'target_path': 'App\\' || aa || '\\' || bb, 'import_name': bb, 'kind': 'external'}] END) AS x FROM named)""", _NAMES)
+def extract_imports(spark, d):
+    return parsing.extract_imports(_sources(spark, d))
+
+
+@query("""SELECT file_id, x.name, x.kind, x.s::BIGINT AS start_line, x.e::BIGINT AS end_line, x.parent FROM (SELECT file_id, unnest(CASE form
+WHEN 0 THEN [{'name': a, 'kind': 'import', 's': 4, 'e': 4, 'parent': NULL}, {'name': n, 'kind': 'function', 's': 6, 'e': 11, 'parent': NULL}, {'name': 'S' || k, 'kind': 'struct', 's': 12, 'e': 14, 'parent': NULL}]
+WHEN 1 THEN [{'name': n, 'kind': 'function', 's': 4, 'e': 6, 'parent': NULL}, {'name': 'c' || k, 'kind': 'variable', 's': 7, 'e': 7, 'parent': NULL}]
+WHEN 2 THEN [{'name': b, 'kind': 'import', 's': 1, 'e': 3, 'parent': NULL}, {'name': 'os', 'kind': 'import', 's': 4, 'e': 4, 'parent': NULL}, {'name': 'C' || k, 'kind': 'class', 's': 5, 'e': 10, 'parent': NULL}, {'name': n, 'kind': 'function', 's': 7, 'e': 10, 'parent': 'C' || k}]
+WHEN 3 THEN [{'name': 'T' || k, 'kind': 'type', 's': 5, 'e': 7, 'parent': NULL}, {'name': n, 'kind': 'method', 's': 8, 'e': 10, 'parent': NULL}]
+WHEN 4 THEN [{'name': 'C' || k, 'kind': 'class', 's': 2, 'e': 10, 'parent': NULL}, {'name': n, 'kind': 'method', 's': 5, 'e': 9, 'parent': 'C' || k}]
+WHEN 5 THEN [{'name': n || '(int n)', 'kind': 'function', 's': 3, 'e': 8, 'parent': NULL}]
+WHEN 6 THEN [{'name': 'M' || k, 'kind': 'module', 's': 2, 'e': 6, 'parent': NULL}, {'name': n || '?', 'kind': 'function', 's': 3, 'e': 5, 'parent': 'M' || k}]
+ELSE [{'name': 'C' || k, 'kind': 'class', 's': 3, 'e': 6, 'parent': NULL}, {'name': n, 'kind': 'method', 's': 4, 'e': 5, 'parent': 'C' || k}] END) AS x FROM named)""", _NAMES)
+def extract_symbols(spark, d):
+    """Symbols of the planted sources, and of the documents taken for TOML (few have a rule's form, and those are left out here)."""
+    return parsing.parse_symbols(_sources(spark, d)).select("file_id", "name", "kind", "start_line", "end_line", "parent")
 
 
-def _sql_text(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_FUNCTIONS = """
+snippets AS (SELECT p_partkey, p_partkey % 20 AS file_id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS i, 'f_' || p_partkey AS name,
+  ['pub fn f_' || p_partkey || '() {', '    // ' || repeat(p_name || ' ', (p_size % 30 + 1)::BIGINT), '}', ''] AS ls FROM part),
+sized AS (SELECT file_id, i, name, list_sum([strlen(x) + 1 FOR x IN ls])::BIGINT AS bytes, strlen(ls[2]) + 1 AS second FROM snippets),
+placed AS (SELECT *, 4 * (i - 1) AS at, sum(bytes) OVER (PARTITION BY file_id ORDER BY i) - bytes AS off, max(i) OVER (PARTITION BY file_id) AS n, sum(bytes) OVER (PARTITION BY file_id) AS total FROM sized),
+cuts AS (SELECT file_id, 1::BIGINT AS i, 0::BIGINT AS line, 0::BIGINT AS start, 1::BIGINT AS first, NULL::BIGINT AS done_line, NULL::BIGINT AS done_end, NULL::BIGINT AS done_first FROM placed WHERE i = 1
+  UNION ALL SELECT c.file_id, p.i, CASE WHEN p.off - c.start >= 1500 THEN p.at - 3 ELSE c.line END, CASE WHEN p.off - c.start >= 1500 THEN p.off - prev.second - 3 ELSE c.start END, CASE WHEN p.off - c.start >= 1500 THEN p.i ELSE c.first END,
+    CASE WHEN p.off - c.start >= 1500 THEN c.line END, CASE WHEN p.off - c.start >= 1500 THEN p.at END, CASE WHEN p.off - c.start >= 1500 THEN c.first END
+  FROM cuts c JOIN placed p ON p.file_id = c.file_id AND p.i = c.i + 1 JOIN placed prev ON prev.file_id = c.file_id AND prev.i = c.i)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_sql_text(c[2])}, {_sql_text(c[3])}, {_sql_text(c[4])})" for k, c in enumerate(_IMPORT_CASES) if c[2]) + ") t(file_id, target_path, import_name, kind)")
-def extract_imports(spark, d):
-    rows = spark.createDataFrame([(k, c[0], c[1]) for k, c in enumerate(_IMPORT_CASES)], "file_id long, language string, content string")
-    return parsing.extract_imports(rows).select("file_id", "target_path", "import_name", "kind")
+@query(None)
+def chunk_semantic(spark, d):
+    """Chunks of Rust files cut at their functions: twenty files of many short functions each."""
+    snippet = F.concat(F.lit("pub fn f_"), F.col("p_partkey").cast("string"), F.lit("() {\n    // "), F.expr("repeat(concat(p_name, ' '), cast(p_size % 30 + 1 as int))"), F.lit("\n}\n\n"))
+    rows = M.table(spark, d, "part").select((F.col("p_partkey") % 20).alias("file_id"), "p_partkey", snippet.alias("s"))
+    files = rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "s"))), lambda x: x["s"]), "").alias("content")).withColumn("language", F.lit("rust"))
+    return parsing.parse_chunks(files).select("file_id", "start_line", "end_line", F.array_join("symbols", ",").alias("symbols"))
 
 
-@query(None)
-def extract_symbols(spark, d):
-    """Symbols of the documents, taken for Python and Rust sources (their few rule hits), and of fixed snippets."""
-    rows = [(-1, "rust", "fn hello() {}\n\npub struct User {\n    id: u32,\n}\n"), (-2, "python", "class User:\n    def name(self):\n        pass\n"), (-3, "go", "func Add(a int) int {\n\treturn a\n}\n")]
-    snippets = spark.createDataFrame(rows, "file_id long, language string, content string")
-    docs = M.files(spark, d).select("file_id", F.when(F.col("language") == "en", "python").otherwise("rust").alias("language"), "content")
-    return parsing.parse_symbols(snippets.unionByName(docs))
+ORACLE_SQL["chunk_semantic"] = f"""WITH RECURSIVE {M.SQL},{_FUNCTIONS},
+ranges AS (SELECT file_id, done_line AS a, done_end AS b, done_first AS first, i - 1 AS last FROM cuts WHERE done_line IS NOT NULL UNION ALL SELECT c.file_id, c.line, 4 * p.n, c.first, p.n FROM cuts c JOIN placed p ON p.file_id = c.file_id AND p.i = c.i WHERE p.i = p.n)
+SELECT r.file_id, r.a + 1 AS start_line, r.b AS end_line, (SELECT string_agg(name, ',' ORDER BY i) FROM placed p WHERE p.file_id = r.file_id AND p.i BETWEEN r.first AND r.last) AS symbols FROM ranges r"""
 
 
 def _perturbed(files: DataFrame) -> DataFrame:
@@ -428,24 +491,37 @@ def upsert_files(spark, d):
     return store.upsert(files, _perturbed(M.files(spark, d)).select("path", "content"), ["path"]).select("path", store.content_hash().alias("hash"))
 
 
-# -- streaming, as batches over the event log (ST1-ST4) --------------------------------------------------------------------------
+# -- streams over the event log (ST1-ST4) ----------------------------------------------------------------------------------------
 
 
 _EVENTS = "log AS (SELECT 'u' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event, event_id AS seq FROM events)"
 
 
-def _log(spark, d) -> DataFrame:
+def _streamed(spark, d) -> tuple[DataFrame, str]:
+    """The log as a stream of several micro-batches, and a folder for what comes of it."""
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("modified")
-    return M.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), kind.alias("event"), F.col("event_id").alias("seq"))
+    log = M.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), kind.alias("event"), F.col("event_id").alias("seq"))
+    folder = f"{scratch_root(spark)}/siftwell/{uuid.uuid4().hex}-stream"
+    log.repartition(3).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(changes.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+def _latest(spark, d) -> DataFrame:
+    events, folder = _streamed(spark, d)
+    latest = changes.LatestEvents(spark, f"{folder}/latest")
+    changes.keep_latest(events, latest, f"{folder}/checkpoint").awaitTermination()
+    return latest.table()
 
 
 @query("SELECT path, event, seq FROM log QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1", _EVENTS)
 def stream_changes(spark, d):
-    return changes.last_changes(_log(spark, d))
+    """The last event of each path, kept by a running query over three micro-batches."""
+    return _latest(spark, d)
 
 
 @query("SELECT path, seq FROM (SELECT path, event, seq FROM log QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE event <> 'deleted'", _EVENTS)
 def stream_applied(spark, d):
-    log = _log(spark, d)
-    content = changes.last_changes(log).select("path", "seq")
-    return changes.apply_changes(content.limit(0), log, content)
+    """The paths that are left once all micro-batches have been applied."""
+    last = _latest(spark, d)
+    content = last.select("path", "seq")
+    return changes.apply_changes(content.limit(0), last, content)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,14 @@ def session(app: str = "siftwell", master: str | None = None, **conf: str) -> Sp
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; an own one only where that is unset and all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from ..sources.files import Files
 from ..sources.tree import snapshot
 
 EVENTS = "path string, event string, seq long"
@@ -100,6 +101,35 @@ def watch(spark: SparkSession, root: str, on_batch, checkpoint: str, seconds: in
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+class LatestEvents:
+    """The last event of each path over all batches of a stream, as a stored table that each batch replaces.
+
+    A batch that comes again (after a restart) writes the same folder anew, from the batch before it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.files = spark, Files(spark, folder)
+
+    def table(self, before: int | None = None) -> DataFrame:
+        done = [int(n) for n in self.files.names("done") if before is None or int(n) < before]
+        if not done:
+            return self.spark.createDataFrame([], EVENTS)
+        return self.spark.read.schema(EVENTS).parquet(f"{self.files.root}/batch-{max(done):012d}")
+
+    def take(self, batch: DataFrame, n: int) -> None:
+        rows = last_changes(self.table(before=n).unionByName(batch.select("path", "event", "seq")))
+        rows.write.mode("overwrite").parquet(f"{self.files.root}/batch-{n:012d}")
+        self.files.publish(f"done/{n:012d}", "", overwrite=True)
+        for old in self.files.names("done")[:-2]:
+            self.files.delete(f"done/{old}"), self.files.delete(f"batch-{old}")
+
+
+def keep_latest(events: DataFrame, latest: LatestEvents, checkpoint: str, once: bool = True):
+    """A started query that takes the batches of the stream ``events`` into ``latest``."""
+    writer = events.writeStream.foreachBatch(latest.take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def first_observations_stream(observations: DataFrame, ts: str = "ts", keep: str = "30 days") -> DataFrame:
     """First row of each (query_hash, language); state is dropped ``keep`` behind the newest ``ts``."""
     return observations.withWatermark(ts, keep).dropDuplicatesWithinWatermark(["query_hash", "language"])
