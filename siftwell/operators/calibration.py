@@ -33,11 +33,43 @@ def sampled(queries: DataFrame, rate: float = C.SAMPLE_RATE) -> DataFrame:
     return queries.filter(F.col("query_no") % every == 0 if every else F.lit(False))
 
 
-def distance_stats(observations: DataFrame, by: list[str] = ("language",)) -> DataFrame:
+#: Bins of a group's range; only the values of those that hold a wanted rank are put in order.
+BINS = 4096
+
+
+def percentiles(values: DataFrame) -> DataFrame:
+    """(grp, p): exact percentiles (linear between neighbours) of (grp, d), as an array in the order of ``PERCENTILES``.
+
+    Equal values are counted first.  A histogram of ``BINS`` bins a group tells which bins hold the wanted ranks, and only
+    their values are sorted, so no task holds a group's values.
+    """
+    counts = values.groupBy("grp", "d").agg(F.count("*").alias("k"))
+    ends = counts.groupBy("grp").agg(F.sum("k").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))  # a row for each group
+    at = F.least(F.lit(BINS - 1), F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))
+    binned = counts.join(F.broadcast(ends), "grp").withColumn("bin", F.coalesce(F.when(F.col("hi") > F.col("lo"), at), F.lit(0)))
+    hist = binned.groupBy("grp", "bin", "n").agg(F.sum("k").alias("k"))  # BINS rows a group at most
+    upto = F.sum("k").over(Window.partitionBy("grp").orderBy("bin"))
+    hist = hist.withColumn("before", upto - F.col("k"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (F.floor if side == 0 else F.ceil)(F.lit(p) * (F.col("n") - 1)).alias("rank"), (F.lit(p) * (F.col("n") - 1)).alias("at"))
+                                for i, p in enumerate(PERCENTILES) for side in (0, 1)]))
+    wanted = hist.select("grp", "bin", "before", "k", ranks.alias("w")).filter((F.col("before") <= F.col("w.rank")) & (F.col("w.rank") < F.col("before") + F.col("k"))).select("grp", "bin", "before", "w.*")
+    # two ranks a percentile and group
+    needed = F.broadcast(wanted.select("grp", "bin", "before").distinct())
+    running = F.sum("k").over(Window.partitionBy("grp", "bin").orderBy("d"))
+    placed = binned.select("grp", "bin", "d", "k").join(needed, ["grp", "bin"]).withColumn("end", F.col("before") + running)
+    hit = placed.select("grp", "bin", "d", (F.col("end") - F.col("k")).alias("first"), "end").join(F.broadcast(wanted.drop("before")), ["grp", "bin"]).filter((F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("end")))
+    side = lambda x: F.max(F.when(F.col("side") == x, F.col("d")))
+    each = hit.groupBy("grp", "i").agg(side(0).alias("a"), side(1).alias("b"), F.max("at").alias("at"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return each.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("p")).select("grp", F.transform("p", lambda x: x["v"]).alias("p"))
+
+
+def distance_stats(observations: DataFrame) -> DataFrame:
     d = F.col("distance").cast("double")
-    p = F.percentile(d, F.array(*[F.lit(x) for x in PERCENTILES]))
-    out = observations.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), p.alias("p"))
-    return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("p")[k], 6).alias(f"p{int(round(x * 100))}") for k, x in enumerate(PERCENTILES)])
+    out = observations.groupBy("language").agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"))
+    found = percentiles(observations.select(F.col("language").alias("grp"), d.alias("d")).filter("d is not null"))
+    out = out.join(found, out["language"].eqNullSafe(found["grp"]), "left")
+    return out.select("language", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("p")[k], 6).alias(f"p{int(round(x * 100))}") for k, x in enumerate(PERCENTILES)])
 
 
 def thresholds(p10: Column, p90: Column, n: Column) -> list[Column]:
@@ -49,12 +81,14 @@ def thresholds(p10: Column, p90: Column, n: Column) -> list[Column]:
 def calibrate(observations: DataFrame, min_samples: int = C.MIN_SAMPLES) -> DataFrame:
     """A row for each language with enough observations, and one over all observations (``_global``)."""
     d = F.col("distance").cast("double")
-    p = F.percentile(d, F.array(*[F.lit(x) for x in PERCENTILES]))
-    rolled = observations.rollup("language").agg(F.grouping("language").alias("all_of"), F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), p.alias("p"))
+    rows = observations.filter("language is not null and distance is not null")
+    rolled = rows.rollup("language").agg(F.grouping("language").alias("all_of"), F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"))
     key = F.when(F.col("all_of") == 1, C.GLOBAL_KEY).otherwise(F.col("language"))
+    rolled = rolled.filter(F.col("n") >= min_samples).withColumn("grp", key)
+    both = rows.select(F.explode(F.array(F.col("language"), F.lit(C.GLOBAL_KEY))).alias("grp"), d.alias("d"))
     at = {x: F.col("p")[k] for k, x in enumerate(PERCENTILES)}
-    return rolled.filter(F.col("n") >= min_samples).select(key.alias("language"), *thresholds(at[0.10], at[0.90], F.col("n")), F.col("n").alias("sample_count"),
-                                                          *[F.round(at[x], 6).alias(f"p{int(x * 100)}") for x in (0.5, 0.9, 0.95)], *[F.round(c, 6).alias(c) for c in ("mean", "std")])
+    return rolled.join(percentiles(both), "grp").select(F.col("grp").alias("language"), *thresholds(at[0.10], at[0.90], F.col("n")), F.col("n").alias("sample_count"),
+                                                        *[F.round(at[x], 6).alias(f"p{int(x * 100)}") for x in (0.5, 0.9, 0.95)], *[F.round(c, 6).alias(c) for c in ("mean", "std")])
 
 
 def lookup(languages: DataFrame, calibrations: DataFrame) -> DataFrame:
@@ -83,14 +117,19 @@ def bootstrap(total: int, threshold: int = C.BOOTSTRAP_ROWS) -> tuple[bool, int]
     return total < threshold, min(100, 100 * total // threshold) if threshold else 100
 
 
-def running_bootstrap(observations: DataFrame, threshold: int = C.BOOTSTRAP_ROWS) -> DataFrame:
+def running_bootstrap(observations: DataFrame, threshold: int = C.BOOTSTRAP_ROWS, width: int = 65_536) -> DataFrame:
     """For each query in order: the total after it, and whether it is the one that ends bootstrap.
 
-    Queries are few beside their candidates: the window runs over one row a query.
+    Queries are summed by ranges of ``width`` numbers; a window runs over the ranges' sums and one over the queries of
+    each range, so no task holds all queries.
     """
-    each = observations.groupBy("query_no").agg(F.count("*").alias("k"))
-    total = F.sum("k").over(Window.orderBy("query_no"))
-    return each.select("query_no", total.alias("total"), ((total >= threshold) & (total - F.col("k") < threshold)).alias("calibrate"))
+    each = observations.groupBy("query_no").agg(F.count("*").alias("k")).withColumn("range", F.floor(F.col("query_no") / width))
+    sums = each.groupBy("range").agg(F.sum("k").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("range")) - F.col("s")).select("range", "before")  # a row for each range
+    within = F.sum("k").over(Window.partitionBy("range").orderBy("query_no"))
+    total = F.col("before") + F.col("within")
+    rows = each.withColumn("within", within).join(before, "range")
+    return rows.select("query_no", total.alias("total"), ((total >= threshold) & (total - F.col("k") < threshold)).alias("calibrate"))
 
 
 def summary(rows: DataFrame) -> str:
