@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_root
+
 #: Rows without a doc_id are one document that sorts after all others.
 NO_ID = 2**63 - 1
 #: Bytes of text that the array code takes at a time; a longer text is a block of its own.
 BLOCK = 2 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; an own one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, executors may be lost.
 
@@ -46,6 +41,21 @@ def unstash(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, which at its end returns freed memory to the machine, as a Python worker lives on after its task."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for k in (0, 1):
+            if len(_POW[k]) > 2 * BLOCK:  # of a long text
+                _POW[k] = np.ones(1, np.uint64)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, whatever its extra columns are called."""
     have = {c.lower() for c in df.columns}
@@ -203,3 +213,22 @@ class Bloom:
 
 def power_of_two(n: float, least: int, most: int) -> int:
     return int(min(most, max(least, 2 ** int(np.ceil(np.log2(max(n, 1)))))))
+
+
+#: Bound of a filter of keys that is broadcast: 2^21 words, 16 MB.  A fuller one only lets more rows through.
+MOST_KEY_WORDS = 1 << 21
+
+
+def bloom_of(keys: DataFrame, name: str, n_words: int | None = None) -> Bloom:
+    """A filter of the column ``name``; what is collected is bounded by its size in words."""
+    n_words = n_words or power_of_two(keys.count(), 1 << 10, MOST_KEY_WORDS)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = Bloom.place(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), n_words)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(as_long(bits))], names=["at", "bits"])
+
+    words = np.zeros(n_words, np.int64)
+    for row in keys.select(name).mapInArrow(place, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        words[row["at"]] = row["bits"]
+    return Bloom(words.view(np.uint64))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._common import LOWER_BYTES, fresh, id_key, real_id, stash, unstash
+from ._common import LOWER_BYTES, freeing, fresh, id_key, real_id, stash, unstash
 from .components import connected_components
 
 RADIUS = 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [_signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["id", "fp", "hash"])
 
-    return docs.select(id_key().alias("id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "id long, fp long, hash long")
+    return docs.select(id_key().alias("id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(freeing(run), "id long, fp long, hash long")
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -168,7 +168,7 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
 
 def _edges(rows: DataFrame) -> DataFrame:
     dealt = rows.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return dealt.mapInArrow(_bucket_edges, "a long, b long")
+    return dealt.mapInArrow(freeing(_bucket_edges), "a long, b long")
 
 
 def classes(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:

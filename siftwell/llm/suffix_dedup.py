@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Bloom, _powers, as_long, fresh, mix, power_of_two, prefix_sums, stash, text_blocks
-from .decontaminate import bloom_of
+from ._common import Bloom, _powers, as_long, bloom_of, freeing, fresh, mix, power_of_two, prefix_sums, stash, text_blocks
 from .line_dedup import joined_batches
 
 SPAN, GRAM = 200, 80
@@ -90,7 +89,7 @@ def repeated_strings(texts: DataFrame, span: int, gram: int) -> DataFrame:
                 twice = np.diff(np.append(new, len(h))) > 1
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(h[new])), pa.array(names[lo:hi][rows[new]], pa.int64()), pa.array(twice)], names=["k", "h1", "twice"])
 
-    found = texts.select("h1", "text").mapInArrow(run, "k long, h1 long, twice boolean")
+    found = texts.select("h1", "text").mapInArrow(freeing(run), "k long, h1 long, twice boolean")
     held = found.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.bool_or("twice").alias("twice"), F.count("*").alias("texts"))
     return held.filter("a <> b or twice").select("k", "texts")
 
@@ -308,7 +307,7 @@ def _emit(texts: DataFrame, wanted: Bloom, hot: Bloom | None, parts: int, span:
         if held or places[0]:
             yield from flush()
 
-    out = stash(texts.mapInArrow(run, "part int, run binary, x1 long, x2 long, h1 long, h2 long, at long"), "contexts")
+    out = stash(texts.mapInArrow(freeing(run), "part int, run binary, x1 long, x2 long, h1 long, h2 long, at long"), "contexts")
     return out.filter("run is not null").select("part", "run"), out.filter("run is null").select("x1", "x2", "h1", "h2", "at").distinct()
 
 
@@ -340,7 +339,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["x1", "x2", "lo", "hi"])
 
-        found = stash(runs.repartition(parts, "part").mapInArrow(merge, "x1 long, x2 long, lo long, hi long"), "windows")
+        found = stash(runs.repartition(parts, "part").mapInArrow(freeing(merge), "x1 long, x2 long, lo long, hi long"), "windows")
         near = places.filter("at >= 0").join(found, ["x1", "x2"]).select("h1", "h2", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + span).alias("end"))
         pieces.append(near)
         if hot_bloom is not None:
@@ -393,4 +392,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
             cols = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pair), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *cols], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(freeing(run), schema)
