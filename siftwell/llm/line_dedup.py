@@ -4,10 +4,13 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 ``min_chars`` code points that two or more documents hold lose all their lines except in the document
 with the smallest doc_id.  The ``once`` filter has every key, the ``twice`` filter every key that some
 second document may hold; a false hit only costs one more row in the exact step, so the result does not depend on
-the filters' size.
+the filters' size.  Only suspected keys are shuffled to find the first holder, and only texts that lose lines are shuffled
+to meet their drops: a third filter, of those texts, lets all others pass as they stand.
 
 Null or empty text: one empty line, which is never dropped.  Rows without a doc_id are one document
-that sorts last; rows that share a doc_id are one document.  Other columns pass through unchanged.
+that sorts last; rows that share a doc_id are one document.  Drops are listed for each doc_id and text (128 bits of
+XXH64), so such rows are no group of their own.  Long texts are taken whole; an empty table gives no rows.  Other
+columns pass through unchanged; where they have the name of a new column, that gets ``_``.
 Exact confirmation compares 128-bit XXH3 digests of keys.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER_BYTES, Bloom, fresh, id_key, power_of_two, stash
+from ._common import LOWER_BYTES, Bloom, bloom_of, freeing, fresh, id_key, power_of_two, stash, unstash
 
 _STRIP = b" \t\n\x0b\x0c\r"
 SEGMENTS = 64
@@ -45,10 +48,6 @@ def _hashes(keys) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64)[::2]
 
 
-def _ids(batch: pa.RecordBatch) -> list:
-    return batch.column(0).to_pylist()
-
-
 def _text(value: pa.Scalar) -> bytes:
     return b"" if not value.is_valid else value.as_buffer().to_pybytes()
 
@@ -90,42 +89,51 @@ def twice_filter(rows: DataFrame, n_words: int, keys_of: Callable[[pa.RecordBatc
         for s, (_, t) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(t.tobytes(), 1)], pa.binary())], names=["seg", "twice"])
 
-    parts = rows.mapInArrow(build, "seg int, once binary, twice binary").repartition(SEGMENTS, "seg")
+    parts = rows.mapInArrow(freeing(build), "seg int, once binary, twice binary").repartition(SEGMENTS, "seg")
     words = np.zeros(n_words, np.uint64)
-    for row in parts.mapInArrow(merge, "seg int, twice binary").toLocalIterator():  # at most n_words words, a bounded size
+    for row in parts.mapInArrow(freeing(merge), "seg int, twice binary").toLocalIterator():  # at most n_words words, a bounded size
         words[row["seg"] * width : (row["seg"] + 1) * width] = np.frombuffer(zlib.decompress(row["twice"]), np.uint64)
     return Bloom(words)
 
 
+def _named(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with its id and the digest of its text under the three names."""
+    return docs.withColumns(dict(zip(names, (id_key(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), strict=True)))
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = 10, n_words: int | None = None) -> DataFrame:
-    """(id, key) of every line key that the document with that id must drop."""
+    """(id, h1, h2, keys): the line keys that the document with that id must drop from the text of that digest."""
     spark = docs.sparkSession
-    slim = docs.select(id_key().alias("id"), "text")
+    slim = _named(docs.select("doc_id", "text"), "id", "h1", "h2").select("id", "h1", "h2", "text")
     if n_words is None:  # about 16 bits a line, from the number of documents; only the share of false hits depends on it
         n_words = power_of_two(docs.count() * 4, 1 << 12, MOST_WORDS)
 
     def keys_of(batch: pa.RecordBatch) -> np.ndarray:
-        return _hashes([k for x in batch.column(1) for k in {k for k in line_keys(_text(x), min_chars) if k}])
+        return _hashes([k for x in batch.column(3) for k in {k for k in line_keys(_text(x), min_chars) if k}])
 
     shared = spark.sparkContext.broadcast(twice_filter(slim, n_words, keys_of).words)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(shared.value)
         for batch in batches:
-            ids, keys = [], []
-            for i, x in zip(_ids(batch), batch.column(1), strict=True):
+            rows, keys = [], []
+            for i, x in enumerate(batch.column(3)):
                 own = {k for k in line_keys(_text(x), min_chars) if k}
                 keys += own
-                ids += [i] * len(own)
+                rows += [i] * len(own)
             if keys:
-                hit = bloom.has(_hashes(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(pa.array(hit)), pa.array(keys, pa.binary()).filter(pa.array(hit))], names=["id", "key"])
+                hit = np.flatnonzero(bloom.has(_hashes(keys)))
+                held = pa.array(np.array(rows, np.int64)[hit])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(held) for k in range(3)), pa.array(keys, pa.binary()).take(pa.array(hit))], names=["id", "h1", "h2", "key"])
 
-    maybe = stash(slim.mapInArrow(suspects, "id long, key binary"), "suspects")
+    maybe = stash(slim.mapInArrow(freeing(suspects), "id long, h1 long, h2 long, key binary"), "suspects")
     held = maybe.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     # read from a table, so that both sides of the join are dealt anew and a hot key's rows can be split
     held = stash(held.select("key", "first"), "repeated")
-    return maybe.join(held, "key").filter("id > first").select("id", "key").distinct()
+    # of each text no more than its own keys
+    lost = stash(maybe.join(held, "key").filter("id > first").groupBy("id", "h1", "h2").agg(F.collect_set("key").alias("keys")), "drops")
+    unstash(maybe), unstash(held)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, n_words: int | None = None) -> DataFrame:
@@ -133,9 +141,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, n_words: int | None = None
 
     A row whose text loses nothing keeps it (null stays null); one that loses every line has ''.
     """
-    k, drops, n_lines, n_dropped = fresh(docs, "line_id", "line_drops", "n_lines", "n_dropped")
-    lost = repeated_lines(docs, min_chars, n_words).groupBy("id").agg(F.collect_list("key").alias(drops)).withColumnRenamed("id", k)
-    joined = docs.withColumn(k, id_key()).join(lost.hint("shuffle_hash"), k, "left").drop(k)
+    k, h1, h2, drops, n_lines, n_dropped = fresh(docs, "line_id", "line_h1", "line_h2", "line_drops", "n_lines", "n_dropped")
+    lost = repeated_lines(docs, min_chars, n_words)
+    losers = docs.sparkSession.sparkContext.broadcast(bloom_of(lost.select(F.xxhash64("id", "h1", "h2").alias("row")), "row").words)
+
+    @F.arrow_udf(T.BooleanType())
+    def loses(row: pa.Array) -> pa.Array:
+        return pa.array(Bloom(losers.value).has(row.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+    named = _named(docs, k, h1, h2)
+    row = loses(F.xxhash64(k, h1, h2))
+    # a plain line count for texts that lose nothing; only the row's hash goes to Python
+    whole = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
+    same = named.filter(~row).withColumns({n_lines: whole, n_dropped: F.lit(0).cast("long")}).drop(k, h1, h2)
+    lost = lost.select(F.col("id").alias(k), F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("keys").alias(drops))
+    joined = named.filter(row).join(lost, [k, h1, h2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], drops)
     at, lost_at = docs.columns.index("text"), len(docs.columns)
     schema = T.StructType(docs.schema.fields + [T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
 
@@ -156,7 +176,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, n_words: int | None = None
             cols[at] = pa.array(texts, pa.binary()).view(pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return same.unionByName(joined.mapInArrow(freeing(run), schema))
 
 
 def clean_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
