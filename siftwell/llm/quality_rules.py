@@ -1,13 +1,16 @@
 """Quality rules: a linear-chain conditional random field marks each line as content or boilerplate.
 
-The field is trained here, on a bounded sample of labelled documents: each line takes its document's
-label (1 content, 0 boilerplate), as no line labels exist.  Viterbi decoding of a text's lines then
-gives the share of its words that stand in content lines; that share decides retention, after two
+The field is trained here, on a bounded sample of labelled documents, as no line labels exist.  Lines of good
+documents are content and lines of bad ones boilerplate; chains that change within a text are made by setting runs of
+lines of bad documents into good ones.  After a first fit, lines of bad documents that it calls content become
+content where most of the document's words stay boilerplate, and the field is fitted again.  Viterbi decoding of a
+text's lines then gives the share of its words that stand in content lines; that share decides retention, after two
 base rules (too few words, too much repetition).
 
-Null text: no words, so the base rules reject it.  Empty and blank lines carry no words and no vote.
-Repeated rows are judged alike, each by its own text.  A table without usable labels of both kinds
-gives a field of zeros, which calls every line content.  Extra columns pass through unchanged.
+Null and empty text: no words, so the base rules reject it.  Empty and blank lines carry no words and no vote.
+Long texts are decoded whole, line by line.  Repeated rows are judged alike, each by its own text.  An empty table
+gives no rows.  A table without usable labels of both kinds gives a field of zeros, which calls every line content.
+Extra columns pass through unchanged; where they have a metric's name, the metric gets ``_``.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACE, fresh
+from ._common import SPACE, freeing, fresh
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = bytes(np.flatnonzero(SPACE).tolist()).decode("latin-1")
@@ -104,45 +107,46 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(samples: list[tuple[np.ndarray, int]], rules: QualityRules) -> LineField:
-    """Maximum likelihood by Adam; the gradient is observed minus expected counts (forward-backward)."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], rules: QualityRules) -> LineField:
+    """Maximum likelihood by Adam over chains (features, labels of the lines); the gradient is observed minus
+    expected counts (forward-backward)."""
     k = len(FEATURES)
-    samples = [(x, y) for x, y in samples if len(x)]
-    if len({y for _, y in samples}) < 2:
+    samples = sorted(((x, y) for x, y in samples if len(x)), key=lambda s: -len(s[0]))
+    if not samples or len(np.unique(np.concatenate([y for _, y in samples]))) < 2:
         return LineField(tuple([(0.0,) * k] * 2), ((0.0, 0.0), (0.0, 0.0)))
-    longest, m = max(len(x) for x, _ in samples), len(samples)
-    order = sorted(range(m), key=lambda i: -len(samples[i][0]))
-    lengths = np.array([len(samples[i][0]) for i in order])
-    y = np.array([samples[i][1] for i in order])
-    x = np.zeros((m, longest, k))
-    for r, i in enumerate(order):
-        x[r, : lengths[r]] = samples[i][0]
-    # both labels weigh the same, whatever their share of the sample; a long text weighs as its root
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / np.sqrt(lengths)
+    m = len(samples)
+    lengths = np.array([len(x) for x, _ in samples])
+    longest = int(lengths[0])
+    # chains of content, of boilerplate and of both weigh the same in all; a long text weighs as its root
+    kind = np.array([2 if y.any() and not y.all() else int(y[0]) for _, y in samples])
+    weight = 1 / np.bincount(kind, minlength=3)[kind] / len(np.unique(kind)) / np.sqrt(lengths)
     alive = np.array([(lengths > t).sum() for t in range(longest)])
+    xs = [np.stack([x[t] for x, _ in samples[: alive[t]]]) for t in range(longest)]
     w, p = np.zeros((2, k)), np.zeros((2, 2))
     first, second = [np.zeros_like(w), np.zeros_like(p)], [np.zeros_like(w), np.zeros_like(p)]
-    sums = np.stack([x[r, : lengths[r]].sum(0) for r in range(m)])
-    seen_w = np.stack([(sums * (weight * (y == c))[:, None]).sum(0) for c in (0, 1)])
-    seen_p = np.diag([((lengths - 1) * weight * (y == c)).sum() for c in (0, 1)])
+    seen_w, seen_p = np.zeros_like(w), np.zeros_like(p)
+    for (x, y), own in zip(samples, weight, strict=True):
+        for c in (0, 1):
+            seen_w[c] += own * x[y == c].sum(0)
+        np.add.at(seen_p, (y[:-1], y[1:]), own)
     for step in range(1, rules.steps + 1):
-        u = x @ w.T
+        us = [x @ w.T for x in xs]
         ahead, behind = np.zeros((longest, m, 2)), np.zeros((longest, m, 2))
-        ahead[0] = u[:, 0]
+        ahead[0] = us[0]
         for t in range(1, longest):
             a = alive[t]
-            ahead[t, :a] = _log_sum(ahead[t - 1, :a, :, None] + p, 1) + u[:a, t]
+            ahead[t, :a] = _log_sum(ahead[t - 1, :a, :, None] + p, 1) + us[t]
         for t in range(longest - 2, -1, -1):
             a = alive[t + 1]
-            behind[t, :a] = _log_sum(p + (behind[t + 1, :a] + u[:a, t + 1])[:, None, :], 2)
+            behind[t, :a] = _log_sum(p + (behind[t + 1, :a] + us[t + 1])[:, None, :], 2)
         z = _log_sum(ahead[lengths - 1, np.arange(m)], 1)
         want_w, want_p = np.zeros_like(w), np.zeros_like(p)
         for t in range(longest):
             a = alive[t]
             node = np.exp(ahead[t, :a] + behind[t, :a] - z[:a, None]) * weight[:a, None]
-            want_w += node.T @ x[:a, t]
+            want_w += node.T @ xs[t]
             if t + 1 < longest and (a := alive[t + 1]):
-                edge = ahead[t, :a, :, None] + p + (behind[t + 1, :a] + u[:a, t + 1])[:, None, :] - z[:a, None, None]
+                edge = ahead[t, :a, :, None] + p + (behind[t + 1, :a] + us[t + 1])[:, None, :] - z[:a, None, None]
                 want_p += (np.exp(edge) * weight[:a, None, None]).sum(0)
         for i, (v, g) in enumerate(((w, seen_w - want_w - rules.l2 * w), (p, seen_p - want_p - rules.l2 * p))):
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -151,6 +155,44 @@ def fit(samples: list[tuple[np.ndarray, int]], rules: QualityRules) -> LineField
     return LineField(tuple(map(tuple, w.tolist())), tuple(map(tuple, p.tolist())))
 
 
+def _chain(lines: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, words) of the lines with a word."""
+    tokens = [words_of(x) for x in lines]
+    some = [k for k, t in enumerate(tokens) if t]
+    return line_features(lines, tokens), np.array([labels[k] for k in some], np.int64), np.array([len(tokens[k]) for k in some], np.int64)
+
+
+def fit_documents(texts: list[tuple[str, int]], rules: QualityRules) -> LineField:
+    """The field of (text, label of the document) samples: two fits, the second with lines of bad documents relabelled."""
+    good, bad = ([t.split("\n") for t, y in texts if y == c] for c in (1, 0))
+    whole = [_chain(lines, [y] * len(lines)) for part, y in ((good, 1), (bad, 0)) for lines in part]
+    if not good or not bad:
+        return fit([], rules)
+    rng = np.random.default_rng(11)
+
+    def mixed(labels_of_bad: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for k in range(min(rules.sample_docs, 2 * len(bad))):
+            host, (guest, own) = good[k % len(good)], (bad[k % len(bad)], labels_of_bad[k % len(bad)])
+            at, lo = int(rng.integers(len(host) + 1)), int(rng.integers(len(guest)))
+            hi = lo + 1 + int(rng.integers(len(guest) - lo))
+            out.append(_chain(host[:at] + guest[lo:hi] + host[at:], [1] * at + own[lo:hi] + [1] * (len(host) - at))[:2])
+        return out
+
+    labels = [[0] * len(lines) for lines in bad]
+    field = fit([c[:2] for c in whole] + mixed(labels), rules)
+    unary, pair = np.array(field.unary), np.array(field.pair)
+    for k, lines in enumerate(bad):
+        x, y, n = whole[len(good) + k]
+        if len(x):
+            found = viterbi(x @ unary.T, pair).astype(np.int64)
+            if 2 * n[found == 1].sum() < n.sum():
+                whole[len(good) + k] = (x, found, n)
+                each = iter(found.tolist())
+                labels[k] = [next(each) if words_of(line) else 0 for line in lines]
+    return fit([c[:2] for c in whole] + mixed(labels), rules)
+
+
 def train(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> LineField:
     """Fit the field on at most ``sample_docs`` labelled documents of each quality, chosen by hash.
 
@@ -166,11 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules
     rows = (docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= rules.sample_chars))
             .join(F.broadcast(ids), "doc_id").groupBy("label", "h", "doc_id").agg(F.max("text").alias("text")))
     got = {c: rows.filter(F.col("label") == c).orderBy("h", "doc_id").limit(rules.sample_docs) for c in (0, 1)}
-    samples = []
-    for row in got[0].unionByName(got[1]).toLocalIterator():
-        lines = row["text"].split("\n")
-        samples.append((line_features(lines, [words_of(x) for x in lines]), row["label"]))
-    return fit(samples, rules)
+    return fit_documents([(row["text"], row["label"]) for row in got[0].unionByName(got[1]).toLocalIterator()], rules)
 
 
 def repeat_words(words: list[str]) -> int:
@@ -237,4 +275,4 @@ def assess(docs: DataFrame, field: LineField, rules: QualityRules = QualityRules
                 cols = [pa.array([r[i] for r in rows], kinds[k][1]) for i, (_, k) in enumerate(METRICS)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freeing(run), schema)
