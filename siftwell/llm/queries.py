@@ -92,7 +92,8 @@ def _spans_sql(name: str, pattern: str, group: int = 0) -> str:
 
 def _entropy_sql(cls: secret_scan.CharClass) -> str:
     token = "lower(value)" if cls.fold else "value"
-    known = " OR ".join("regexp_matches(value, '" + p.replace("(?i)", "(?i:").replace("'", "''") + (")" if "(?i)" in p else "") + "')" for p in secret_scan.ALLOWED)
+    has = lambda p: "regexp_matches(value, '" + p.replace("(?i)", "(?i:").replace("'", "''") + (")" if "(?i)" in p else "") + "')"
+    known = " OR ".join("(" + " AND ".join([has(p), *(f"NOT {has(x)}" for x in but)]) + ")" for p, *but in secret_scan.ALLOWED)
     units = "[" + ", ".join(str(cls.units(n)) for n in range(cls.window + 1)) + "]"
     w = cls.window
     return f"""
@@ -151,22 +152,31 @@ def _cued_sql(x: str) -> str:
 
 
 _TEMPLATES_SQL = ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(license_scan.TEMPLATES))
+_PAIRS_SQL = "[" + ", ".join(f"'{p}'" for p in license_scan.TEMPLATE_PAIRS) + "]"
+_WORDS_SQL = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_PAIR_SQL = "list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2])"
+_COMMENT_SQL = license_scan.COMMENT.replace("'", "''")
 OP9_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents),
-cut AS (SELECT *, CASE WHEN {_cued_sql("lower(text)")} THEN [x FOR x IN string_split(text, chr(10)) IF {_cued_sql("lower(x)")}] ELSE [] END AS ls FROM docs),
-cues AS (SELECT r, doc_id, path, CASE WHEN len(ls) > 1 THEN list_append(ls, array_to_string(ls, chr(10))) ELSE ls END AS units,
-  regexp_matches(path, '{license_scan.FILE_NAME}') OR (len(ls) > 0 AND 2 * len(string_split_regex(trim(array_to_string(ls, ' ')), '\\s+')) > len(string_split_regex(trim(text), '\\s+'))) AS file FROM cut),
-unit AS (SELECT r, unnest(range(len(units))) AS u, unnest(units) AS line FROM cues),
-counts AS (SELECT r, u, term, count(*) AS tf FROM (SELECT r, u, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM unit) GROUP BY ALL),
-base AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM (VALUES {_TEMPLATES_SQL}) v(t, license, body)) GROUP BY ALL),
-total AS (SELECT count(*)::DOUBLE AS n FROM cues WHERE len(units) > 0),
-df AS (SELECT term, count(DISTINCT r) AS df FROM counts WHERE term IN (SELECT term FROM base) GROUP BY 1),
-idf AS (SELECT DISTINCT b.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM base b LEFT JOIN df ON b.term = df.term, total),
+begun AS (SELECT *, string_split(regexp_replace(text, '^[ \\t\\r\\n]+', ''), chr(10)) AS all_lines FROM docs),
+cut AS (SELECT *, CASE WHEN {_cued_sql("lower(text)")} THEN [x FOR x IN string_split(text, chr(10)) IF {_cued_sql("lower(x)")}] ELSE [] END AS ls,
+  CASE WHEN {_cued_sql("lower(text)")} THEN [x FOR x IN string_split_regex(text, '{license_scan.GAP}') IF {_cued_sql("lower(x)")}] ELSE [] END AS blocks,
+  coalesce(list_position([regexp_matches(x, '{_COMMENT_SQL}') FOR x IN all_lines], false), 0) AS p, regexp_matches(path, '{license_scan.FILE_NAME}') AS named,
+  nullif(regexp_extract(text, '{license_scan.SPDX}', 1), '') AS spdx FROM begun),
+cues AS (SELECT r, doc_id, path, spdx, list_distinct([x FOR x IN list_concat([array_to_string(all_lines[1 : CASE WHEN p = 0 THEN len(all_lines) WHEN p = 1 THEN 1 ELSE p - 1 END], chr(10)), CASE WHEN named THEN text END, array_to_string(ls, chr(10))], ls, blocks) IF x <> '']) AS units,
+  named OR (len(ls) > 0 AND 2 * len(string_split_regex(trim(array_to_string(ls, ' ')), '\\s+')) > len(string_split_regex(trim(text), '\\s+'))) AS file FROM cut),
+unit AS (SELECT r, u, {_WORDS_SQL.format("line")} AS ws FROM (SELECT r, unnest(range(len(units))) AS u, unnest(units) AS line FROM cues)),
+alike AS (SELECT r, u, ws, ps FROM (SELECT r, u, ws, {_PAIR_SQL} AS ps FROM unit) WHERE len(list_intersect(list_distinct(ps), {_PAIRS_SQL})) >= {license_scan.MIN_SHARED}),
+counts AS (SELECT r, u, term, count(*) AS tf FROM (SELECT r, u, unnest(list_concat(ws, ps)) AS term FROM alike) GROUP BY ALL),
+base AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(list_concat(ws, {_PAIR_SQL})) AS term FROM (SELECT t, license, {_WORDS_SQL.format("body")} AS ws FROM (VALUES {_TEMPLATES_SQL}) v(t, license, body))) GROUP BY ALL),
+total AS (SELECT count(DISTINCT r)::DOUBLE AS n FROM counts),
+df AS (SELECT term, count(DISTINCT r) AS df FROM counts GROUP BY 1),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT term FROM base UNION SELECT term FROM df) LEFT JOIN df USING (term), total),
 w AS (SELECT t, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w FROM base JOIN idf USING (term)),
-norms AS (SELECT r, u, sqrt(sum((tf * coalesce(idf, ln(1 + n) + 1)) ** 2)) AS norm FROM counts LEFT JOIN idf USING (term), total GROUP BY 1, 2),
+norms AS (SELECT r, u, sqrt(sum((tf * idf) ** 2)) AS norm FROM counts JOIN idf USING (term) GROUP BY 1, 2),
 dots AS (SELECT c.r, c.u, w.t, w.license, sum(c.tf * i.idf * w.w) AS dot FROM counts c JOIN idf i USING (term) JOIN w USING (term) GROUP BY ALL),
 best AS (SELECT r, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (r, u) QUALIFY row_number() OVER (PARTITION BY r ORDER BY round(dot / norm, 6) DESC, license) = 1),
-own AS (SELECT c.r, doc_id, path, file, CASE WHEN score >= 0.5 THEN license END AS license, CASE WHEN score >= 0.5 THEN score END AS score FROM cues c LEFT JOIN best USING (r)),
+own AS (SELECT c.r, doc_id, path, file, coalesce(spdx, CASE WHEN score >= 0.5 THEN license END) AS license, CASE WHEN spdx IS NOT NULL THEN 1.0 WHEN score >= 0.5 THEN score END AS score FROM cues c LEFT JOIN best USING (r)),
 holders AS (SELECT * FROM (SELECT array_to_string(string_split(path, '/')[:-2], '/') AS dir, score, path AS file_path, license AS file_license FROM own WHERE file AND license IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, file_path) = 1),
 seek AS (SELECT r, k, array_to_string(string_split(path, '/')[1:k], '/') AS dir FROM (SELECT r, path, unnest(range(len(string_split(path, '/')))) AS k FROM own WHERE license IS NULL)),
 near AS (SELECT s.r, h.score AS near_score, file_path, file_license FROM seek s JOIN holders h USING (dir) QUALIFY row_number() OVER (PARTITION BY s.r ORDER BY s.k DESC) = 1)
