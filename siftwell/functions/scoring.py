@@ -71,3 +71,34 @@ def percentile_value(p: Column, p10: Column, p25: Column, p50: Column, p75: Colu
     for cut, value in zip(cuts[1:], (p25, p50, p75, p90), strict=True):
         out = out.when(p <= cut, value)
     return out.otherwise(p95)
+
+
+def newer(latest: Column, current: Column) -> Column:
+    """Whether version ``latest`` comes after ``current``: three numbers, what is missing or no number is 0."""
+    parts = lambda v: [F.coalesce(F.try_element_at(F.split(F.ltrim(v, F.lit("v")), r"\."), F.lit(k)).try_cast("int"), F.lit(0)) for k in (1, 2, 3)]
+    return F.struct(*parts(latest)) > F.struct(*parts(current))
+
+
+def _word(blob: Column, k: Column) -> Column:
+    """The k-th 32 bits as a number."""
+    digits = F.hex(blob)
+    byte = lambda j: F.substring(digits, k * 8 + 2 * j + 1, F.lit(2))
+    return F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
+
+
+def _float_of_bits(bits: Column) -> Column:
+    """IEEE 754 single precision by its fields."""
+    sign = F.when(bits.bitwiseAND(F.lit(1 << 31)) != 0, -1.0).otherwise(1.0)
+    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
+    fraction = bits.bitwiseAND(F.lit((1 << 23) - 1))
+    normal = (F.lit(float(1 << 23)) + fraction) * F.pow(F.lit(2.0), exponent - 150)
+    small = fraction.cast("double") * F.pow(F.lit(2.0), F.lit(-149))
+    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return (sign * F.when(exponent == 255, special).when(exponent == 0, small).otherwise(normal)).cast("float")
+
+
+def vector_of_bytes(blob: Column) -> Column:
+    """The floats of little-endian 32-bit numbers; none if the length is no multiple of four."""
+    size = F.octet_length(blob)
+    bits = F.transform(F.sequence(F.lit(0), F.floor(size / 4).cast("int") - 1), lambda k: _word(blob, k))
+    return F.when((size % 4 != 0) | (size == 0), F.array().cast("array<float>")).otherwise(F.transform(bits, _float_of_bits))

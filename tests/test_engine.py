@@ -227,3 +227,19 @@ def test_observation_streams(spark, tmp_path):
     q = changes.counted_observations_stream(stream(), 3).writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["language"], r["total"], r["calibrate"]) for r in spark.table("counts").collect()} == {("a", 3, True), ("b", 1, False)}
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from siftwell import __main__ as cli
+
+    db = str(tmp_path / "db")
+    say = lambda *a: (cli.main(list(a)), capsys.readouterr())
+    code, out = say("index", tree, "-d", db)
+    assert code == 0 and "added 3" in out.out
+    assert "files: 3" in say("stats", "-d", db)[1].out
+    assert "get_user (function)" in say("search", "get_user", "-d", db, "--file-type", "rs")[1].out
+    assert "Definitions:\n  src/users.rs:5" in say("refs", "get_user", "-d", db)[1].out
+    assert "std::collections::HashMap as HashMap [std]" in say("deps", "src/users.rs", "-d", db)[1].out
+    assert "function at src/users.rs:5-7" in say("explain", "get_user", "-d", db)[1].out and "not in the index" in say("explain", "nothing", "-d", db)[1].out
+    assert "not calibrated" in say("calibrate", "-d", db, "--dry-run")[1].out
+    assert say("deps", "../x", "-d", db)[0] == 2

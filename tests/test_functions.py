@@ -132,3 +132,18 @@ def test_lookup_and_sampling(spark):
     assert {r["max_distance"] for r in calibration.lookup(langs, rows.filter("confidence = 'low'")).collect()} == {1.2}
     assert [calibration.sample_every(r) for r in (0, 0.1, 0.5, 1, 2)] == [0, 10, 2, 1, 1]
     assert calibration.bootstrap(250) == (True, 50) and calibration.bootstrap(600) == (False, 100)
+
+
+def test_newer_versions(spark):
+    rows = [("1.2.3", "1.2.2", True), ("1.2.3", "1.2.3", False), ("1.10.0", "1.9.9", True), ("v2.0.0", "1.9.9", True), ("1.2", "1.2.0", False), ("x.y", "0.0.1", False), ("2", "1.9.9", True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert [r["got"] for r in df.select(scoring.newer(F.col("a"), F.col("b")).alias("got")).collect()] == [w for *_, w in rows]
+
+
+def test_vectors_of_bytes(spark):
+    import struct
+
+    vectors = [[1.0, -2.5, 0.1, 3.4e38, 1e-45, -0.0, 0.0], [float("inf"), -float("inf")], []]
+    rows = [(bytearray(struct.pack(f"<{len(v)}f", *v)),) for v in vectors] + [(bytearray(b"abc"),), (None,)]
+    got = [r["v"] for r in spark.createDataFrame(rows, "b binary").select(scoring.vector_of_bytes(F.col("b")).alias("v")).collect()]
+    assert got == [list(struct.unpack(f"<{len(v)}f", struct.pack(f"<{len(v)}f", *v))) for v in vectors] + [[], None]
