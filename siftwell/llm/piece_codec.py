@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Each block of texts is cut into chunks (a run of word marks and what follows up to the next mark; no
-piece reaches over such a cut, which is checked when the model is loaded).  The block's distinct new
-chunks are joined and indexed by a suffix array.  Every piece of the model is then searched for by
-bisection, which gives the range of its occurrences; these are edges from position to position.  The
-edges are put in order of position (one slot for each position and length).  The vocabulary is a BPE one, so
-relaxation follows its merge order: in each round every chunk joins the adjacent pair of symbols whose
-edge has the best score, leftmost first.  What no piece covers falls back to bytes.
+Texts are taken in blocks and cut into chunks (a run of word marks and what follows up to the next mark; no
+piece reaches over such a cut, which is checked when the model is loaded).  Equal chunks have equal ids, so of the
+batch text only distinct chunks that the task has not met before are joined and indexed by a suffix array.  Every
+piece of the model is then searched for by bisection, which gives the range of its occurrences; these are edges from
+position to position.  The edges are put in order of position (one slot for each position and length).  The
+vocabulary is a BPE one, so relaxation follows its merge order: in each round every chunk joins the adjacent pair of
+symbols whose edge has the best score, leftmost first.  What no piece covers falls back to bytes.
 
 The ids equal the library's for the same model.  Null text: null ids, no pieces.  Empty text: no ids.
-A word mark in a text decodes to a space, as in the library.  Texts of any length are taken whole.
+A word mark in a text decodes to a space, as in the library.  A long text is taken whole, slice by slice (cut where a
+chunk begins).  Repeated rows and ties are encoded each by itself; ties of scores merge leftmost first.  An empty table
+gives no rows.  Extra columns pass through; names of new columns get ``_`` where they are taken.
 """
 
 from __future__ import annotations
@@ -25,17 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import fresh
+from ._common import freeing, fresh, text_blocks
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Code points of texts taken at once, and of new chunks indexed at once.
-BLOCK_CHARS, INDEX_CHARS = 4 << 20, 1 << 20
+#: Bytes of texts, code points of a slice and code points of new chunks that are taken at once.
+BLOCK_BYTES, SLICE_CHARS, INDEX_CHARS = 1 << 20, 1 << 19, 1 << 18
 #: Chunks with more code points are merged with a heap of their own.
 LONG = 64
-#: Chunks remembered within a task; at this many it starts anew.
-REMEMBER = 400_000
+#: Code points of chunks remembered within a task; at this many it starts anew.
+REMEMBER_CHARS = 1 << 20
 
 
 class PieceModel:
@@ -69,7 +71,7 @@ class PieceModel:
         self.reset()
 
     def reset(self) -> None:
-        self.known = {}
+        self.known, self.known_chars = {}, 0
         self.flat, self.used, self.ends = np.zeros(1 << 16, np.int32), 0, [np.zeros(1, np.int64)]
 
     def ends_array(self) -> np.ndarray:
@@ -88,7 +90,7 @@ class PieceModel:
             behind[: n - width] = rank[width:] + 1 if n > width else 0
             rank = np.unique(rank * (int(rank.max()) + 2) + behind, return_inverse=True)[1]
             width *= 2
-        return np.argsort(rank, kind="stable")
+        return np.argsort(rank, kind="stable").astype(np.int32)
 
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, piece number) of every occurrence of every piece."""
@@ -97,7 +99,7 @@ class PieceModel:
         here = np.zeros(len(self.alphabet) + 1, bool)
         here[codes] = True
         here[0] = True
-        which = np.flatnonzero(here[self.codes].all(axis=1))
+        which = np.flatnonzero(here[self.codes].all(axis=1)).astype(np.int32)
         want, size = self.codes[which], self.lengths[which]
         inside = np.arange(self.longest) < size[:, None]
         rows = np.arange(len(which))
@@ -179,6 +181,7 @@ class PieceModel:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
+        self.known_chars += n
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
         self.ends.append(self.used + np.cumsum(counts))
         self.used += len(ids)
@@ -210,11 +213,11 @@ class PieceModel:
                 offer(before[a])
         return np.array(sorted(end), np.int64)
 
-    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, end of each text's ids)."""
+    def encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of texts that begin with a word mark, with marks for spaces."""
         find = _CHUNK.findall
-        cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
+        cut = [find(t) for t in texts]
+        if self.known_chars > REMEMBER_CHARS:
             self.reset()
         new, size = [], 0
         for chunk in set().union(*cut).difference(self.known):
@@ -225,39 +228,74 @@ class PieceModel:
                 new, size = [], 0
         if new:
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        many = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
         ends = self.ends_array()
         first = ends[at]
         count = ends[at + 1] - first
-        total = np.cumsum(count)
-        ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - count), count)]
-        upto = np.cumsum([len(cs) for cs in cut])
-        return ids, np.append(0, total)[upto]
+        total = np.append(0, np.cumsum(count))
+        ids = self.flat[np.arange(total[-1]) + np.repeat(first - total[:-1], count)]
+        return ids, np.diff(total[np.append(0, np.cumsum(many))])
+
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each text's ids)."""
+        parts, owners, counts = [], [], []
+        held, of, size = [], [], 0
+
+        def flush() -> None:
+            ids, many = self.encode_slice(held)
+            parts.append(ids), counts.append(many), owners.append(np.array(of, np.int64))
+            held.clear(), of.clear()
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            for part in _slices(MARK + text.replace(" ", MARK)):
+                held.append(part), of.append(k)
+                size += len(part)
+                if size > SLICE_CHARS:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        sizes = np.zeros(len(texts), np.int64)
+        for own, many in zip(owners, counts, strict=True):
+            np.add.at(sizes, own, many)
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum(sizes)
 
     # -- decode --------------------------------------------------------------------------------
 
     def decode_block(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The text of each run of ids; invalid bytes become U+FFFD, one leading space goes."""
-        count = self.spelled_ends[ids + 1] - self.spelled_ends[ids]
-        total = np.cumsum(count)
-        raw = self.spelled[np.arange(total[-1] if len(total) else 0) + np.repeat(self.spelled_ends[ids] - (total - count), count)].tobytes()
+        raw, upto = [], [np.zeros(1, np.int64)]
+        for lo in range(0, len(ids), SLICE_CHARS):
+            own = ids[lo : lo + SLICE_CHARS]
+            begin = self.spelled_ends[own]
+            count = self.spelled_ends[own + 1] - begin
+            total = np.cumsum(count)
+            raw.append(self.spelled[np.arange(total[-1]) + np.repeat(begin - (total - count), count)].tobytes())
+            upto.append(upto[-1][-1] + total)
+        joined, cuts = b"".join(raw), np.concatenate(upto)
         out, lo = [], 0
-        for hi in np.append(0, total)[ends].tolist():
-            text = raw[lo:hi].decode("utf-8", "replace")
+        for hi in cuts[ends].tolist():
+            text = joined[lo:hi].decode("utf-8", "replace")
             out.append(text[1:] if text.startswith(" ") else text)
             lo = hi
         return out
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size > BLOCK_CHARS:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _slices(text: str) -> Iterator[str]:
+    """``text`` in parts of about ``SLICE_CHARS``, cut where a chunk begins."""
+    lo, n = 0, len(text)
+    while n - lo > SLICE_CHARS:
+        at = text.find(MARK, lo + SLICE_CHARS)
+        while at >= 0 and text[at - 1] == MARK:
+            at = text.find(MARK, at + 1)
+        if at < 0:
+            break
+        yield text[lo:at]
+        lo = at
+    yield text[lo:]
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -286,19 +324,18 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, with_ids: bool = Tr
 
         model = model_of(model_path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for lo, hi in _blocks(texts):
-                part = texts[lo:hi]
+            for lo, hi, _, _ in text_blocks(batch.column(at), BLOCK_BYTES):
+                part = batch.column(at).slice(lo, hi - lo).to_pylist()
                 ids, ends = model.encode_block([t or "" for t in part])
                 begins = np.append(0, ends[:-1]).astype(np.int64)
-                each = [ids[a:b] for a, b in zip(begins, ends, strict=True)]
+                digests = [hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(begins, ends, strict=True)]
                 same = [x == (t or "").replace(MARK, " ") for t, x in zip(part, model.decode_block(ids, ends), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(ids)), pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in part]))
-                cols = [lists, pa.array(ends - begins, pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each]), pa.array(same, pa.bool_())]
+                cols = [lists, pa.array(ends - begins, pa.int64()), pa.array(digests), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *cols[skip:]], names=schema.names)
-        model.reset()  # a worker lives on after its task, its memory should not
+        model.reset()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freeing(run), schema)
 
 
 def decode(docs: DataFrame, ids: str = "piece_ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -316,4 +353,4 @@ def decode(docs: DataFrame, ids: str = "piece_ids", model_path: str = DEFAULT_MO
             texts = [x if ok else None for x, ok in zip(model.decode_block(flat, ends), column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freeing(run), schema)
