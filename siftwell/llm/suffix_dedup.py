@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Bloom, _powers, as_long, bloom_of, freeing, fresh, mix, power_of_two, prefix_sums, stash, text_blocks
+from ._common import Bloom, _powers, as_long, bloom_of, freeing, fresh, mix, power_of_two, prefix_sums, stash, text_blocks, unstash
 from .line_dedup import joined_batches
 
 SPAN, GRAM = 200, 80
@@ -322,7 +322,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     rounds = max(1, -(-n * 16 // (MOST_WORDS * 64)))
     heavy = strings.filter(F.col("texts") > hot)
     hot_bloom = None if heavy.isEmpty() else bloom_of(heavy, "k")
-    pieces = []
+    pieces, stored = [], [strings]
     for j in range(rounds):
         own = strings.filter(F.pmod(F.col("k"), F.lit(rounds)) == j)
         parts = int(max(8, min(100_000, n // rounds // 8_000)))
@@ -330,16 +330,25 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         runs, places = _emit(texts, bloom_of(own, "k", words), hot_bloom, parts, span, gram)
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by: dict[int, list[bytes]] = {}
-            for batch in batches:
-                for part, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    by.setdefault(part, []).append(run)
-            for part in sorted(by):
-                _, found = equal_windows(by.pop(part), span, gram)
+            at, held = None, []
+
+            def windows() -> Iterator[pa.RecordBatch]:
+                _, found = equal_windows(held, span, gram)
+                held.clear()
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["x1", "x2", "lo", "hi"])
 
-        found = stash(runs.repartition(parts, "part").mapInArrow(freeing(merge), "x1 long, x2 long, lo long, hi long"), "windows")
+            for batch in joined_batches(batches):
+                for part, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if part != at:  # parts come in order, so one part's runs are held at a time
+                        yield from windows()
+                        at = part
+                    held.append(run)
+            yield from windows()
+
+        sorted_runs = runs.repartition(parts, "part").sortWithinPartitions("part")
+        found = stash(sorted_runs.mapInArrow(freeing(merge), "x1 long, x2 long, lo long, hi long"), "windows")
+        stored += [found, runs]
         near = places.filter("at >= 0").join(found, ["x1", "x2"]).select("h1", "h2", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + span).alias("end"))
         pieces.append(near)
         if hot_bloom is not None:
@@ -352,7 +361,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     for p in pieces:
         spans = spans.unionByName(p)
     # as many ranges as a text has anchors at most
-    return spans.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    out = stash(spans.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    for df in stored:
+        unstash(df)
+    return out
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = 1 << 20) -> DataFrame:
@@ -361,7 +373,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     ``text`` stays as it was; ``kept`` may cut a character in two, so it is bytes.
     """
     h1, h2, spans = fresh(docs, "text_h1", "text_h2", "text_spans")
-    found = stash(repeated_spans(docs, span, gram, hot), "spans").withColumnsRenamed({"h1": h1, "h2": h2, "spans": spans})
+    found = repeated_spans(docs, span, gram, hot).withColumnsRenamed({"h1": h1, "h2": h2, "spans": spans})
     named = docs.withColumn(h1, F.xxhash64("text")).withColumn(h2, F.xxhash64(F.lit(1), "text"))
     joined = named.join(found, [h1, h2], "left").select(*docs.columns, spans)
     names = fresh(docs, "n_bytes", "n_removed", "removed", "kept")
