@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ._common import LOWER_BYTES, freeing, fresh, id_key, real_id, stash, unstash
 from .components import connected_components
@@ -193,11 +192,17 @@ def simhash_components(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` with one row of each component: one with the smallest doc_id (ties: the smallest hash of the text)."""
+    """``docs`` with one row of each component: one with the smallest doc_id (ties: the smallest hash of the text).
+
+    Of rows that share both the one whose other columns have the smallest hash stays; they are pre-aggregated, so copies
+    without a doc_id do not gather in one task.
+    """
     rows, labels = classes(docs, most)
-    k, h, n = fresh(docs, "simhash_id", "simhash_hash", "simhash_n")
+    k, h, n = fresh(docs, "simhash_id", "simhash_hash", "simhash_row")
     heads = rows.join(labels, "fp").groupBy("root").agg(F.min(F.struct("id", "hash")).alias("f"))
     heads = stash(heads.select(F.col("f.id").alias(k), F.col("f.hash").alias(h)).distinct(), "heads")
     kept = docs.withColumns({k: id_key(), h: F.xxhash64("text")}).join(heads, [k, h], "left_semi")
-    first = Window.partitionBy(k, h).orderBy("text")  # repeated rows only
-    return kept.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(k, h, n)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tie = F.xxhash64(F.to_json(F.struct(*[c for c, name in zip(columns, docs.columns, strict=True) if name != "text"])))
+    first = kept.groupBy(k, h).agg(F.min_by(F.struct(*columns), F.struct(tie, "text")).alias(n))
+    return first.select(*[F.col(n)[c].alias(c) for c in docs.columns])
