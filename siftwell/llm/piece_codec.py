@@ -34,10 +34,12 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Bytes of texts, code points of a slice and code points of new chunks that are taken at once.
 BLOCK_BYTES, SLICE_CHARS, INDEX_CHARS = 1 << 20, 1 << 19, 1 << 18
+#: Code points of a suffix that are compared as one number.
+PACKED = 4
 #: Chunks with more code points are merged with a heap of their own.
 LONG = 64
 #: Code points of chunks remembered within a task; at this many it starts anew.
-REMEMBER_CHARS = 1 << 20
+REMEMBER_CHARS = 2 << 20
 
 
 class PieceModel:
@@ -64,6 +66,13 @@ class PieceModel:
         self.codes = np.zeros((len(normal), self.longest), np.int32)
         for r, p in enumerate(points):
             self.codes[r, : len(p)] = np.searchsorted(self.alphabet, p) + 1
+        # a number for the first PACKED code points of each piece; shorter ones are filled with zeros
+        self.bits = int(len(self.alphabet) + 1).bit_length()
+        if self.bits * PACKED > 62:
+            raise ValueError("the alphabet of this model is too large")
+        self.heads = np.zeros(len(normal), np.int64)
+        for i in range(PACKED):
+            self.heads = (self.heads << self.bits) | self.codes[:, i]
         spelled = [bytes([int(p[3:5], 16)]) if self.is_byte[i] else b"" if self.is_silent[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_ends = np.append(0, np.cumsum([len(x) for x in spelled]))
@@ -100,12 +109,22 @@ class PieceModel:
         here[codes] = True
         here[0] = True
         which = np.flatnonzero(here[self.codes].all(axis=1)).astype(np.int32)
-        want, size = self.codes[which], self.lengths[which]
+        # the first PACKED code points of a suffix are one number, in the same order
+        heads = np.zeros(len(order), np.int64)
+        for i in range(PACKED):
+            heads = (heads << self.bits) | padded[order + i]
+        least = self.heads[which]
+        most = least + (np.int64(1) << (self.bits * np.maximum(PACKED - self.lengths[which], 0))) - 1
+        low, high = np.searchsorted(heads, least, "left"), np.searchsorted(heads, most, "right")
+        found = low < high
+        which, low, high = which[found], low[found], high[found]
+        long = np.flatnonzero(self.lengths[which] > PACKED)
+        want, size = self.codes[which[long]], self.lengths[which[long]]
         inside = np.arange(self.longest) < size[:, None]
-        rows = np.arange(len(which))
+        rows = np.arange(len(long))
 
         def bisect(past_equal: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(which), np.int64), np.full(len(which), len(order), np.int64)
+            lo, hi = low[long], high[long]
             while (open_ := lo < hi).any():
                 mid = (lo + hi) // 2
                 at = order[np.minimum(mid, len(order) - 1)]
@@ -116,7 +135,9 @@ class PieceModel:
                 lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
             return lo
 
-        low, high = bisect(False), bisect(True)
+        if len(long):
+            ends = bisect(False), bisect(True)
+            low[long], high[long] = ends
         count = high - low
         at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
         return order[at], np.repeat(which, count)
