@@ -491,6 +491,37 @@ def upsert_files(spark, d):
     return store.upsert(files, _perturbed(M.files(spark, d)).select("path", "content"), ["path"]).select("path", store.content_hash().alias("hash"))
 
 
+_KEPT = """
+new_rows AS (SELECT path, content, language, 2 AS turn FROM new_files),
+stored AS (SELECT path, content, language, 1 AS turn FROM files WHERE path NOT IN (SELECT path FROM new_files) UNION ALL SELECT * FROM new_rows),
+left_ AS (SELECT * FROM stored WHERE NOT contains(path, '/1'))"""
+
+
+def _child_rows(files: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Two chunks and a symbol for each file."""
+    n = F.explode(F.array(F.lit(1), F.lit(2)))
+    chunks = files.select("path", n.alias("start_line"), F.substring("content", 1, 20).alias("content")).withColumn("end_line", F.col("start_line"))
+    return chunks, files.select("path", F.concat(F.lit(f"s{turn}_"), "language").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+
+
+@query("""SELECT path, sha256(content) AS hash, language, 2::BIGINT AS n_chunks, CASE WHEN contains(path, '/2') THEN 2 ELSE 0 END::BIGINT AS n_embedded, 's' || turn || '_' || language AS symbol FROM left_""", _NEW + "," + _KEPT)
+def store_upkeep(spark, d):
+    """A store through its whole life: load, upsert with children, delete, set embeddings, and its lookups joined."""
+    shelf = store.Store(spark, f"{scratch_root(spark)}/siftwell/{uuid.uuid4().hex}-store")
+    files = M.files(spark, d).select("path", "content", "language", F.octet_length("content").alias("size"), F.lit(0).alias("last_modified"), "file_id")
+    for turn, rows in ((1, files), (2, _perturbed(files))):
+        chunks, symbols = _child_rows(rows, turn)
+        shelf.replace_files(rows.drop("file_id"), chunks=chunks, symbols=symbols)
+    shelf.delete_files(shelf.table("files").filter(F.col("path").contains("/1")).select("path"))
+    marked = shelf.table("chunks").join(shelf.table("files").filter(F.col("path").contains("/2")).select("file_id"), "file_id", "left_semi")
+    shelf.set_embeddings(marked.select("chunk_id", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+    counts = shelf.table("chunks").groupBy("file_id").agg(F.count("*").alias("n_chunks"))
+    embedded = shelf.chunks_with_embedding().groupBy("path").agg(F.count("*").alias("n_embedded"))
+    names = shelf.table("symbols").select("file_id", F.col("name").alias("symbol"))
+    out = shelf.table("files").join(counts, "file_id", "left").join(embedded, "path", "left").join(names, "file_id", "left")
+    return out.select("path", "hash", "language", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_embedded", F.lit(0)).alias("n_embedded"), "symbol")
+
+
 # -- streams over the event log (ST1-ST4) ----------------------------------------------------------------------------------------
 
 
