@@ -319,7 +319,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     texts = texts_of(docs)
     strings = stash(repeated_strings(texts, span, gram), "strings")
     n = strings.count()
-    rounds = max(1, -(-n * 16 // (MOST_WORDS * 64)))
+    rounds = max(1, -(-n * 8 // (MOST_WORDS * 64)))  # 16 bits a string, 8 at least
     heavy = strings.filter(F.col("texts") > hot)
     hot_bloom = None if heavy.isEmpty() else bloom_of(heavy, "k")
     pieces, stored = [], [strings]
