@@ -137,3 +137,43 @@ def chain_best(unary: np.ndarray, pair: np.ndarray) -> float:
     import itertools
 
     return max(sum(unary[t, y] for t, y in enumerate(ys)) + sum(pair[a, b] for a, b in itertools.pairwise(ys)) for ys in itertools.product((0, 1), repeat=len(unary)))
+
+
+def paragraphs(rows: list[tuple], min_words: int, min_sentence: int = 8, similarity: float = 0.8) -> list[tuple]:
+    """(doc_id, start, end, first doc_id, start, end, removed) of (id, text); bytes."""
+    units = []  # id, start, end, words, is line
+    for i, t in rows:
+        raw, at = (t or "").encode(), 0
+        for line in raw.split(b"\n"):
+            words = [(at + m.start(), at + m.end(), m[0].decode().translate(LOW)) for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)]
+            at += len(line) + 1
+            if len(words) < min_words:
+                continue
+            units.append((NO_ID if i is None else i, words[0][0], words[-1][1], tuple(w for *_, w in words), True))
+            sentence = []
+            for k, w in enumerate(words):
+                sentence.append(w)
+                if w[2][-1] in ".!?" or k + 1 == len(words):
+                    if min_sentence <= len(sentence) < len(words):
+                        units.append((NO_ID if i is None else i, sentence[0][0], sentence[-1][1], tuple(x for *_, x in sentence), False))
+                    sentence = []
+    by, links = {}, []
+    for k, u in enumerate(units):
+        links.append((by.setdefault(u[3], k), k))
+    grams = {k: {u[3][j : j + 5] for j in range(len(u[3]) - 4)} for k, u in enumerate(units) if u[4]}
+    held = defaultdict(set)
+    for k, g in grams.items():
+        for x in g:
+            held[x].add(k)
+    links += [(k, j) for k, g in grams.items() for j in {j for x in g for j in held[x]} if j < k and jaccard(g, grams[j]) >= similarity]
+    part = components(len(units), links)
+    groups = defaultdict(list)
+    for u, c in zip(units, part, strict=True):
+        groups[c].append(u[:3])
+    none = lambda u: (None if u[0] == NO_ID else u[0], *u[1:])
+    out = []
+    for us in groups.values():
+        if len(us) > 1:
+            us.sort()
+            out += [(*none(u), *none(us[0]), k > 0) for k, u in enumerate(us)]
+    return out
