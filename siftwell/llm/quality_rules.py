@@ -15,6 +15,7 @@ Extra columns pass through unchanged; where they have a metric's name, the metri
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPACE, freeing, fresh
+from ._common import freeing, fresh
 
 SYMBOLS = "#*$%&|<>"
-_SPACES = bytes(np.flatnonzero(SPACE).tolist()).decode("latin-1")
 FEATURES = ("bias", "short", "long", "symbols", "upper", "digits", "bang", "adjacent", "few", "seen", "shared", "short_words", "long_words", "stop")
 
 
@@ -52,14 +52,12 @@ class LineField:
     pair: tuple
 
 
-def words_of(line: str) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+``; str.split() alone would also cut at other Unicode spaces."""
-    return line.split() if line.isascii() and not _ODD.intersection(line) else [w for w in line.translate(_TO_SPACE).split(" ") if w]
+#: str.split() would also cut at other Unicode spaces.
+words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
-_TO_SPACE = {ord(c): " " for c in _SPACES}
-_ODD = set("\x1c\x1d\x1e\x1f")  # ASCII that str.split() takes for white space and the rule does not
-_SYMBOL_DROP = str.maketrans("", "", SYMBOLS)
+def symbols_in(text: str) -> int:
+    return sum(map(text.count, SYMBOLS))
 
 
 def line_features(lines: list[str], tokens: list[list[str]]) -> np.ndarray:
@@ -73,7 +71,7 @@ def line_features(lines: list[str], tokens: list[list[str]]) -> np.ndarray:
         repeats = sum(map(str.__eq__, words, words[1:]))
         letters = max(1, chars)
         out.append((
-            1.0, float(n <= 3), min(n, 60) / 60, min(1.0, 4 * (len(line) - len(line.translate(_SYMBOL_DROP))) / letters),
+            1.0, float(n <= 3), min(n, 60) / 60, min(1.0, 4 * symbols_in(line) / letters),
             sum(map(str.isupper, words)) / n, min(1.0, 4 * sum(map(str.isdigit, line)) / letters) if not line.isalpha() else 0.0,
             min(1.0, line.count("!") / n), min(1.0, repeats / max(1, n - 1)), 1 - len(distinct) / n, float(line in seen),
             len(distinct & earlier) / len(distinct), float(chars < 3 * n), float(chars > 12 * n), float(line.rstrip()[-1:] in ".?:;,!"),
@@ -240,7 +238,7 @@ def judge(text: str | None, unary: np.ndarray, pair: np.ndarray, rules: QualityR
             n_dup += line in seen
             seen.add(line)
     repeats = repeat_words(words)
-    n_symbols = len(text or "") - len((text or "").translate(_SYMBOL_DROP))
+    n_symbols = symbols_in(text or "")
     failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
     content = 0
     if n:
