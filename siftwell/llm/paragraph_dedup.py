@@ -15,7 +15,9 @@ whose members are not yet one component go on.  There members stand in the order
 those they share most with, and are cut into chunks of up to ``CHUNK``; chunks of two or more components compare all
 members across components exactly and give a forest of links, never all pairs.  A bucket of up to ``CHUNK`` members is one chunk,
 so its components are exact.  Larger ones are searched again in the order of another band, ``TURNS`` times or until a
-round merges nothing; a pair that is in no common chunk then, and is not connected by others, is missed.
+round merges nothing.  What is open then is compared whole: its largest component need not meet itself, all other
+members meet all of the bucket, dealt into pairs of parts.  So no bucket is capped, and components are those of all
+similar pairs that share a band.
 
 Two Bloom filters over all keys (see line_dedup) keep units that nothing can match out of the shuffle.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import BLOCK, LOWER, SPACE, Bloom, _powers, as_long, freeing, fresh, gram_hashes, id_key, mix, power_of_two, real_id, span_hashes, stash, text_blocks, unstash, word_spans
-from .components import connected_components
+from .components import connected_components, smallest_nodes
 from .line_dedup import MOST_WORDS, joined_batches, twice_filter
 
 SHINGLE = 5
@@ -47,8 +49,10 @@ BANDS, ROWS = 12, 4
 MIN_WORDS = 20
 #: Members of a bucket that are compared with each other at once.
 CHUNK = 128
-#: Orders in which buckets over ``CHUNK`` are searched, at most.
+#: Orders in which buckets over ``CHUNK`` are searched before the rest is compared whole, at most.
 TURNS = 3
+#: Members and bytes of the parts into which what is left of a bucket is dealt, and members of a part that are compared at once.
+PART, PART_BYTES, SIDE = 4096, 4 << 20, 256
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -315,7 +319,113 @@ def _linked(chunks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return rows.repartition("chunk").sortWithinPartitions("chunk", "uid").mapInArrow(freeing(run), "a long, b long")
 
 
-def near_components(lines: DataFrame, texts: DataFrame, similarity: float, most: int = CHUNK) -> DataFrame:
+def _across(comps: np.ndarray, part: np.ndarray, texts: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links between the components of two parts of a bucket, or within one: every pair across components is decided."""
+    row, gram = _grams(texts)
+    size = np.bincount(row, minlength=len(texts))
+    _, which, count = np.unique(gram, return_inverse=True, return_counts=True)
+    dense = np.cumsum(count > 1) - 1
+    keep = count[which] > 1
+    row, col = row[keep], dense[which[keep]]
+    at = np.full(int((count > 1).sum()) + 1, -1)
+    names, root = np.unique(comps, return_inverse=True)
+    cuts = np.concatenate([np.arange(lo, hi, SIDE) for lo, hi in zip(*_runs(part), strict=True)] + [[len(texts)]])
+    bounds = np.searchsorted(row, cuts)
+    out = []
+
+    def grid(k: int, lo: int, hi: int) -> np.ndarray:
+        r, c = row[bounds[k] : bounds[k + 1]], at[col[bounds[k] : bounds[k + 1]]]
+        held = (c >= lo) & (c < hi)
+        made = np.zeros((cuts[k + 1] - cuts[k], hi - lo), np.float32)
+        made[r[held] - cuts[k], c[held] - lo] = 1
+        return made
+
+    one = part[0] == part[-1]
+    for i in range(len(cuts) - 1):
+        own = slice(cuts[i], cuts[i + 1])
+        seen = np.unique(col[bounds[i] : bounds[i + 1]])
+        for j in range(i, len(cuts) - 1):
+            other = slice(cuts[j], cuts[j + 1])
+            if not one and part[cuts[i]] == part[cuts[j]]:
+                continue  # a cell of their own compares these
+            apart = root[own][:, None] != root[other][None, :]
+            apart &= np.minimum(size[own][:, None], size[other][None, :]) >= similarity * np.maximum(size[own][:, None], size[other][None, :])
+            if not apart.any():
+                continue
+            both = np.intersect1d(seen, col[bounds[j] : bounds[j + 1]])
+            at[both] = np.arange(len(both))
+            shared = np.zeros(apart.shape)
+            for lo in range(0, len(both), 1024):
+                hi = min(lo + 1024, len(both))
+                shared += grid(i, lo, hi) @ grid(j, lo, hi).T
+            at[both] = -1
+            x, y = np.nonzero(apart & (shared >= similarity * (size[own][:, None] + size[other][None, :] - shared)))
+            if len(x):
+                ids, least = smallest_nodes(root[own][x], root[other][y])
+                out += [(int(names[a]), int(names[b])) for a, b in zip(ids, least, strict=True) if a != b]
+                whole = np.arange(len(names))
+                whole[ids] = least
+                root = whole[root]
+    return out
+
+
+def _rest(live: DataFrame, texts: DataFrame, similarity: float, part: int) -> DataFrame:
+    """(a, b): links between components in the buckets of (band, uid, comp) rows, by comparing all members across components.
+
+    A bucket's largest component need not meet itself.  It and the others are dealt into parts of about ``part`` members
+    (fewer where lines are long), and each pair of parts that holds two components is a cell of its own.
+    """
+    live = stash(live.join(texts.select("uid", F.octet_length("text").alias("size")), "uid"), "rest")
+    of = live.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = F.max(F.struct("n", "size", "comp"))
+    plan = of.groupBy("band").agg(top.alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.ceil(F.greatest(n / part, size / PART_BYTES)).cast("int")
+    plan = plan.select("band", F.col("top.comp").alias("most"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("few"), parts(F.col("top.n"), F.col("top.size")).alias("many"))
+    rows = live.join(stash(plan, "parts"), "band")
+    own = F.col("comp") == F.col("most")
+    rows = rows.withColumn("part", F.when(own, F.col("few") + F.pmod(F.xxhash64("uid"), "many")).otherwise(F.pmod(F.xxhash64("uid"), "few")).cast("int"))
+    rows = rows.join(texts, "uid").select("band", "uid", "comp", "part", "size", "text", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)).alias("other"))
+    cells = rows.select(F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "comp", "size", "uid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held and (links := _across(np.array([h[1] for h in held]), np.array([h[0] for h in held]), [h[2] for h in held], similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+        for batch in joined_batches(batches, BLOCK):
+            for band, x, y, p, c, t in zip(*(batch.column(i).to_pylist() for i in range(5)), _raw(batch.column(5)), strict=True):
+                if (band, x, y) != at:
+                    yield from found()
+                    held, at = [], (band, x, y)
+                held.append((p, c, t))
+        yield from found()
+
+    dealt = cells.repartition("cell").sortWithinPartitions("band", "x", "y", "part", "comp", "size", "uid")
+    return dealt.select("band", "x", "y", "part", "comp", "text").mapInArrow(freeing(run), "a long, b long")
+
+
+def _coloured(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return members.select("band", "j", "n", "uid").join(comps.withColumnRenamed("id", "uid"), "uid", "left").select("band", "j", "n", "uid", F.coalesce("component", "uid").alias("comp"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The buckets whose members are not yet one component."""
+    return rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
+
+
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after the links ``found`` between them; a line alone is its own component."""
+    joined = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    out = comps.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).unionByName(
+        joined.select(F.col("component").alias("id"), F.col("whole").alias("component")).join(comps.select("id"), "id", "left_anti"))
+    out = stash(out, "components")
+    unstash(comps), unstash(joined), unstash(found)
+    return out
+
+
+def near_components(lines: DataFrame, texts: DataFrame, similarity: float, most: int = CHUNK, part: int = PART) -> DataFrame:
     """The stored components (id, component) of similar lines of (uid, bands) and (uid, text); lines alone have no row."""
     each = stash(lines.select("uid", F.posexplode("bands").alias("j", "band")).filter("band is not null"), "members")
     sizes = each.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("p")).filter("n > 1")
@@ -330,10 +440,9 @@ def near_components(lines: DataFrame, texts: DataFrame, similarity: float, most:
     comps = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     unstash(met), unstash(near)
     for turn in range(1, TURNS + 1):
-        rows = stash(members.select("band", "j", "n", "uid").join(comps.withColumnRenamed("id", "uid"), "uid", "left").select("band", "j", "n", "uid", F.coalesce("component", "uid").alias("comp")), "coloured")
-        open_ = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
+        rows = stash(_coloured(members, comps), "coloured")
         keys = F.slice(F.array_compact(F.slice(F.concat("bands", "bands"), (F.col("j") + turn) % BANDS + 1, F.lit(BANDS - 1))), 1, 4)
-        live = stash(rows.join(stash(open_, "open"), "band").join(lines, "uid").select("band", "n", keys.alias("keys"), "uid", "comp"), "live")
+        live = stash(rows.join(stash(_open(rows), "open"), "band").join(lines, "uid").select("band", "n", keys.alias("keys"), "uid", "comp"), "live")
         unstash(rows)
         chunks = stash(_chunks(live, most), "chunks")
         unstash(live)
@@ -342,18 +451,19 @@ def near_components(lines: DataFrame, texts: DataFrame, similarity: float, most:
         if found.isEmpty():
             unstash(found)
             break
-        # components that the round has linked become one; a line alone is its own component
-        joined = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-        old, comps = comps, comps.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).unionByName(
-            joined.select(F.col("component").alias("id"), F.col("whole").alias("component")).join(comps.select("id"), "id", "left_anti"))
-        comps = stash(comps, "components")
-        unstash(old), unstash(joined), unstash(found)
+        comps = _merged(comps, found)
         # buckets of one chunk have been searched whole
         old, members = members, stash(members.filter(F.col("n") > most), "colliding")
         unstash(old)
         if members.isEmpty():
             break
-    unstash(members), unstash(wide)
+    # what the rounds have left open in larger buckets is compared whole
+    rows = stash(_coloured(members.filter(F.col("n") > most), comps).select("band", "uid", "comp"), "coloured")
+    unstash(members)
+    open_ = stash(_open(rows), "open")
+    if not open_.isEmpty():
+        comps = _merged(comps, stash(_rest(rows.join(open_, "band"), texts, similarity, part), "near"))
+    unstash(rows), unstash(open_), unstash(wide)
     return comps
 
 

@@ -197,6 +197,30 @@ def test_paragraphs_in_one_large_group(spark, chunk):
     assert (got & want).total() >= 0.98 * want.total()
 
 
+@pytest.mark.parametrize("options", [{}, {"part": 40}])
+def test_buckets_over_a_chunk_are_exact(spark, options):
+    """One bucket of short chains: a link between lines of different chunks is found wherever they stand in it."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for _ in range(100):
+        words = list(base)
+        for at in rng.sample(range(60), 6):
+            words[at] = f"x{rng.randrange(10**6)}"
+        for _ in range(3):
+            texts.append(" ".join(words))
+            words[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    sets = [brute.shingles(t) for t in texts]
+    want = brute.components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if brute.jaccard(sets[i], sets[j]) >= 0.8])
+    assert 2 < len(set(want)) < len(texts)
+    other = lambda: rng.randrange(2**40)
+    lines = spark.createDataFrame([(k, [7, *(other() for _ in range(paragraph_dedup.BANDS - 1))]) for k in range(len(texts))], "uid long, bands array<long>")
+    got = dict(paragraph_dedup.near_components(lines, spark.createDataFrame(list(enumerate(texts)), "uid long, text string"), 0.8, 8, **options).collect())
+    groups = lambda part: {frozenset(k for k in range(len(texts)) if part[k] == c) for c in set(part)}
+    assert groups([got.get(k, k) for k in range(len(texts))]) == groups(list(want))
+
+
 def test_similar_by_brute_force():
     rng = random.Random(22)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(5, 200))) for _ in range(40)] + ["a b c d e", "a b c d e", "A b c  d e"]
