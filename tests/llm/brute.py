@@ -177,3 +177,25 @@ def paragraphs(rows: list[tuple], min_words: int, min_sentence: int = 8, similar
             us.sort()
             out += [(*none(u), *none(us[0]), k > 0) for k, u in enumerate(us)]
     return out
+
+
+def licenses(rows: list[tuple], templates: list[tuple], min_shared: int, min_score: float = 0.5) -> dict:
+    """row -> (license, score) of (row, units), every unit compared with every template."""
+    terms = lambda text: Counter((ws := re.findall("[a-z0-9]+", text.lower())) + [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)])
+    known = [(name, terms(body)) for name, body in templates]
+    shared = {t for _, c in known for t in c if " " in t}
+    counted = [(r, terms(u)) for r, units in rows for u in units]
+    sure = [(r, c) for r, c in counted if len(shared & c.keys()) >= min_shared]
+    df = Counter(t for _, t in {(r, t) for r, c in sure for t in c})
+    total = len({r for r, _ in sure})
+    weigh = lambda c: {t: n * (np.log((1 + total) / (1 + df[t])) + 1) for t, n in c.items()}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    vectors = [(name, v, norm(v)) for name, v in ((name, weigh(c)) for name, c in known)]
+    best = {}
+    for r, c in counted:
+        own = weigh(c)
+        for name, v, size in vectors:
+            score = sum(x * v[t] for t, x in own.items() if t in v) / (size * norm(own) or 1)
+            if score >= min_score:
+                best[r] = min(best.get(r, (0, "")), (-round(score, 6), name))
+    return {r: (name, -score) for r, (score, name) in best.items()}

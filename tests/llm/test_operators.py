@@ -473,6 +473,33 @@ def test_wrapped_license(spark):
     assert got.pop(0) == ("MIT", "file") and got.pop(1000) == ("MIT", "inherited") and set(got.values()) == {("MIT", "header")}
 
 
+def test_license_titles(spark):
+    """A title line shares one pair of words with a template, or none, and still reaches the threshold."""
+    rows = [(1, "MIT License\n\nwords of another kind", "a/LICENSE"), (2, "print(1)", "a/b/x.py"), (3, "# CC BY\n" + "x = y\n" * 9, "c/x.py"), (4, "# under MIT, the license released\n" + "x = y\n" * 9, "d/x.py"), (5, "the", "e/x.py"), (6, "a license", "f/x.py")]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("CC-BY-4.0", "header"), 4: ("MIT", "header"), 5: (None, "none"), 6: (None, "none")}
+
+
+def test_licenses_by_brute_force(spark):
+    """Pieces of templates, of a word or more, in order or not, among other words."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(600):
+        units = []
+        for _ in range(rng.randrange(4)):
+            ws = rng.choice(license_scan.TEMPLATES)[1].split()
+            at = rng.randrange(len(ws))
+            ws = ws[at : at + rng.choice([1, 2, 2, 3, 4, 6, 90])] + [f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 0, 1, 3]))]
+            if rng.random() < 0.4:
+                rng.shuffle(ws)
+            units.append(" ".join(ws))
+        rows.append((k, units))
+    want = brute.licenses(rows, license_scan.TEMPLATES, license_scan.MIN_SHARED)
+    got = {r["row"]: (r["license"], r["score"]) for r in license_scan.own_licenses(spark.createDataFrame(rows, "row long, units array<string>")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[r][0] == want[r][0] and abs(got[r][1] - want[r][1]) < 2e-6 for r in want)
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------
 
 
