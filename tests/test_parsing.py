@@ -1,5 +1,7 @@
 """Symbols, chunks and imports of sources in many languages."""
 
+import time
+
 import pytest
 
 from siftwell.operators import parsing
@@ -57,6 +59,40 @@ def test_chunks_at_boundaries():
     assert all(len(c["content"]) >= 1490 for c in got[:-1])
 
 
+def test_long_files_take_linear_time():
+    began = time.time()
+    source = "".join(f"pub fn f_{k}() {{\n    // {'x ' * 60}\n}}\n\n" for k in range(60_000))
+    got = parsing.chunk_source(source, "rust")
+    assert got[0]["start_line"] == 1 and got[-1]["end_line"] == 240_000 and got[-1]["end_byte"] == len(source) - 1
+    assert [n for c in got for n in c["symbols"]] == [f"f_{k}" for k in range(60_000)]
+    assert all(source[c["start_byte"] : c["end_byte"]] == c["content"] for c in (got[0], got[7], got[-1]))
+    assert time.time() - began < 25
+    # blocks that stay open to the end
+    began = time.time()
+    open_ = parsing.extract_symbols("".join(f"fn f_{k}() {{\n" for k in range(20_000)), "rust")
+    assert len(open_) == 20_000 and {s["end_line"] for s in open_} == {20_000} and open_[-1]["parent"] == "f_19998"
+    nested = parsing.extract_symbols("".join(f"{' ' * k}a{k}:\n" for k in range(300)) + "\n" * 300_000 + "b: 1\n", "yaml")
+    assert [s["end_line"] for s in nested] == [300] * 300 + [300_301]
+    assert time.time() - began < 25
+
+
+def test_far_blocks_end_where_near_ones_do():
+    body = "    if x {\n    }\n" * 200
+    for language, head, tail in (("rust", "fn a() {\n", "}\nfn b() {\n}\n"), ("typescript", "function a() {\n", "}\nfunction b() {\n}\n")):
+        assert [(s["name"], s["end_line"]) for s in parsing.extract_symbols(head + body + tail, language)] == [("a", 402), ("b", 404)]
+    ruby = "module A\n" + "".join(f"  def f{k}\n    1\n  end\n" for k in range(100)) + "end\n"
+    assert [s["end_line"] for s in parsing.extract_symbols(ruby, "ruby")] == [302] + [3 * k + 4 for k in range(100)]
+
+
+def test_rows_leave_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(parsing, "BATCH_ROWS", 5)
+    source = "".join(f"def f{k}():\n    return '{'x' * 300}'\n\n" for k in range(40))
+    files = spark.createDataFrame([(1, source, "python"), (2, None, "python"), (3, "a\nb", None), (4, "", "rust")], "file_id long, content string, language string")
+    for rows, one in ((parsing.parse_symbols(files), parsing.extract_symbols), (parsing.parse_chunks(files), parsing.chunk_source)):
+        got = [r.asDict() for r in rows.orderBy("file_id", "start_line").collect()]
+        assert got == [{"file_id": i, **row} for i, text, language in ((1, source, "python"), (3, "a\nb", ""), (4, "", "rust")) for row in one(text, language)]
+
+
 def test_imports_over_lines(spark):
     rows = [(1, "rust", "use a::{\n    b,\n    c,\n};\nuse d;\npub use x::y;\n"), (2, "typescript", "import {\n  a,\n  b,\n} from './utils';\nimport \"side\";\nexport { z } from './no';\nconst s = 'import x from \"no\"';\n"), (3, "go", 'import (\n\t"fmt"\n\te "github.com/pkg/errors"\n)\n'),
             (4, "python", "from .m import (\n    A,\n)\r\nimport os, sys\n"), (5, "java", None), (6, "nothing", "import x"), (7, "c", '#include <a.h>\n#include "b.h"\n'), (8, "php", "use A\\B as C;\n"), (9, "rust", "")]
