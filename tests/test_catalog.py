@@ -30,6 +30,14 @@ def test_query(spark, duck, name):
         assert rows_of(got) == rows_of(duck.sql(catalog.ORACLE_SQL[name]).df())
 
 
+def test_sources_are_spread(spark):
+    """The part table is one small file; the work on the sources made of it goes to all cores."""
+    rows = catalog._sources(spark, SF)
+    per_task = [n for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(per_task) >= spark.sparkContext.defaultParallelism and max(per_task) < sum(per_task) / 4
+    assert rows.filter("content is null").count() == 0
+
+
 def test_entry_without_llm():
     import __spark_entry__ as entry
 
