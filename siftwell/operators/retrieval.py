@@ -137,42 +137,66 @@ def knn(chunks: DataFrame, query: Column, k: int, metric: str = "l2") -> DataFra
     return chunks.filter(F.col("embedding").isNotNull()).withColumn("distance", F.round(near, 6)).orderBy("distance", "chunk_id").limit(k)
 
 
+#: Elements of a distance matrix, and candidate pairs whose differences are taken, at a time.
+KNN_CELLS, KNN_PAIRS = 1 << 19, 1 << 15
+
+
+def _distances(q: np.ndarray, c: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at))
+    for lo in range(0, len(at), KNN_PAIRS):
+        hi = lo + KNN_PAIRS
+        out[lo:hi] = ((q[at[lo:hi]] - c[near[lo:hi]]) ** 2).sum(1)
+    return np.round(np.sqrt(out), 6)
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, ci: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in q, place in c, distance) of the ``k`` nearest of each query, a few queries at a time."""
+    m = min(k, len(ci))
+    of_c, step = (c * c).sum(1), max(1, KNN_CELLS // len(ci))
+    for lo in range(0, len(q), step):
+        some = q[lo : lo + step]
+        rough = (some * some).sum(1)[:, None] + of_c[None, :] - 2 * (some @ c.T)
+        # all that rounding may place among the first m; their distances are taken from the differences
+        reach = np.partition(rough, m - 1, axis=1)[:, m - 1] + 1e-4 * (1 + np.abs(rough).max(axis=1) ** 0.5)
+        at, near = np.nonzero(rough <= reach[:, None])
+        d = _distances(some, c, at, near)
+        order = np.lexsort((ci[near], d, at))
+        at, near, d = at[order], near[order], d[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        yield at[keep] + lo, near[keep], d[keep]
+
+
 def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, chunk_id, distance): the ``k`` nearest rows of each row of ``queries`` (query_id, embedding), by distance then id.
 
-    Both sides are packed into blocks of vectors; each block of queries meets each block of rows in one matrix product,
-    which keeps ``k`` rows a query, and those are ranked again over all blocks.  Exact, and the rows that leave a
-    block do not depend on how alike the vectors are.
+    Both sides are packed into blocks of vectors; each block of queries meets each block of rows in matrix products of a
+    bounded size, which keep ``k`` rows a query, and those are ranked again over all blocks.  Exact, and neither the rows that
+    leave a block nor the memory it takes depend on how many or how alike the vectors are: pairs of blocks come in Arrow
+    batches that Spark ends at 64 MB, and are read in place, one at a time.
     """
     def pack(df: DataFrame, key: str, side: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                rows = flat.reshape(len(ids), -1)
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                rows = rows if rows.dtype == np.float32 else rows.astype(np.float64)
                 for lo in range(0, len(ids), block):
                     part = ids[lo : lo + block]
-                    yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([rows[lo : lo + block].tobytes()], pa.binary())], names=[f"{side}_ids", f"{side}_rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([rows[lo : lo + block].tobytes()], pa.binary()), pa.array([rows.dtype.itemsize], pa.int32())], names=[f"{side}_ids", f"{side}_rows", f"{side}_size"])
 
         kept = df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("long"), "embedding")
-        return kept.mapInArrow(run, f"{side}_ids binary, {side}_rows binary")
+        return kept.mapInArrow(run, f"{side}_ids binary, {side}_rows binary, {side}_size int")
+
+    def vectors(ids: pa.BinaryScalar, rows: pa.BinaryScalar, size: pa.Int32Scalar) -> tuple[np.ndarray, np.ndarray]:
+        i = np.frombuffer(ids.as_buffer(), np.int64)
+        return i, np.frombuffer(rows.as_buffer(), np.float32 if size.as_py() == 4 else np.float64).reshape(len(i), -1).astype(np.float64)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a_ids, a_rows, b_ids, b_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qi, ci = np.frombuffer(a_ids, np.int64), np.frombuffer(b_ids, np.int64)
-                q, c = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((a_rows, qi), (b_rows, ci)))
-                rough = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T)
-                m = min(k, len(ci))
-                # all that rounding may place among the first m; their distances are taken from the differences
-                reach = np.partition(rough, m - 1, axis=1)[:, m - 1] + 1e-4 * (1 + np.abs(rough).max(axis=1) ** 0.5)
-                at, near = np.nonzero(rough <= reach[:, None])
-                d = np.round(np.sqrt(((q[at] - c[near]) ** 2).sum(1)), 6)
-                order = np.lexsort((ci[near], d, at))
-                at, near, d = at[order], near[order], d[order]
-                first = np.searchsorted(at, at)
-                keep = np.arange(len(at)) - first < k
-                yield pa.RecordBatch.from_arrays([pa.array(qi[at[keep]]), pa.array(ci[near[keep]]), pa.array(d[keep])], names=["query_id", "chunk_id", "distance"])
+            for row in zip(*batch.columns, strict=True):
+                (qi, q), (ci, c) = vectors(*row[:3]), vectors(*row[3:])
+                for at, near, d in _nearest(q, c, ci, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ci[near]), pa.array(d)], names=["query_id", "chunk_id", "distance"])
 
     # blocks, not rows: a query set against all rows
     pairs = pack(queries, "query_id", "q").crossJoin(pack(chunks, "chunk_id", "c"))

@@ -178,6 +178,31 @@ def test_watch_reads_what_changed(spark, tree, tmp_path):
     assert len(os.listdir(tmp_path / "cp/snapshots")) <= 2
 
 
+def test_knn_batch_of_alike_vectors(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    few = rng.random((7, 16), np.float32)
+    rows = [(i, few[i % 7].tolist()) for i in range(300)] + [(1000 + i, rng.random(16, np.float32).tolist()) for i in range(300)]
+    for kind in ("float", "double"):
+        chunks = spark.createDataFrame(rows, f"chunk_id long, embedding array<{kind}>").repartition(3)
+        got = retrieval.knn_batch(chunks, chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), 10, 64).collect()
+        v, ids = np.array([x for _, x in rows]), np.array([i for i, _ in rows])
+        want = set()
+        for q in ids[ids % 20 == 0]:
+            d = np.round(np.sqrt(((v - v[ids == q]) ** 2).sum(1)), 6)
+            want |= {(int(q), int(ids[j]), float(d[j])) for j in np.lexsort((ids, d))[:10]}
+        assert len(got) == len(want) and {(r["query_id"], r["chunk_id"], r["distance"]) for r in got} == want
+    # a block of one vector: all pairs are candidates
+    same = np.ones((2048, 64))
+    tracemalloc.start()
+    out = [(at, near, d) for at, near, d in retrieval._nearest(same, same, np.arange(2048), 10)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(at) for at, _, _ in out) == 20480 and all((near.reshape(-1, 10) == np.arange(10)).all() and (d == 0).all() for _, near, d in out)
+    assert peak < 150e6
+
+
 def test_knn(spark):
     rows = [(k, [i * 0.001 * k for i in range(384)]) for k in (1, 2, 3)]
     chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
