@@ -76,6 +76,20 @@ def test_long_files_take_linear_time():
     assert time.time() - began < 25
 
 
+def test_texts_without_boundaries_are_only_cut(monkeypatch):
+    """No symbols are sought in a text whose chunks do not depend on them, and a long one takes linear time."""
+    def fail(*_):
+        raise AssertionError("parsed for symbols")
+
+    monkeypatch.setattr(parsing, "_code", fail)
+    for language in ("", "unknown", "json", "yaml"):
+        assert [c["end_line"] for c in parsing.chunk_source('"x": 1\n' * 400, language)] == [215, 400, 400]
+    began = time.time()
+    got = parsing.chunk_source("ab\n" * 1_000_000, "")
+    assert got[1]["start_line"] == 498 and got[-1]["end_line"] == 1_000_000 and max(c["end_byte"] for c in got) == 2_999_999
+    assert time.time() - began < 20
+
+
 def test_far_blocks_end_where_near_ones_do():
     body = "    if x {\n    }\n" * 200
     for language, head, tail in (("rust", "fn a() {\n", "}\nfn b() {\n}\n"), ("typescript", "function a() {\n", "}\nfunction b() {\n}\n")):
