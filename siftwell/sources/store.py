@@ -90,7 +90,7 @@ class Store:
         self._publish(number, pointer)
 
     def _store(self, name: str, df: DataFrame) -> dict[str, str]:
-        """Write rows to a new folder; bucket -> folder."""
+        """Write rows to a new folder; bucket -> folder.  Rows with a column ``bucket`` stand together by it already."""
         version = f"{name}/v-{uuid.uuid4().hex}"
         empty = self.spark.createDataFrame([], TABLES[name])
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
@@ -98,7 +98,8 @@ class Store:
             rows.write.parquet(f"{self.root}/{version}")
             return {"": version}
         key = "file_id" if name == "files" else CHILDREN[name]
-        rows.withColumn("bucket", bucket_of_id(key)).repartition("bucket").sortWithinPartitions("bucket", ID[name]).write.partitionBy("bucket").parquet(f"{self.root}/{version}")
+        rows = df.select(*rows.columns, "bucket") if "bucket" in df.columns else rows.withColumn("bucket", bucket_of_id(key)).repartition("bucket")
+        rows.sortWithinPartitions("bucket", ID[name]).write.partitionBy("bucket").parquet(f"{self.root}/{version}")
         return {n.partition("=")[2]: f"{version}/{n}" for n in self._files.names(version) if n.startswith("bucket=")}
 
     def drop_folder(self, name: str) -> None:
@@ -130,6 +131,24 @@ class Store:
             out[name] = {b: f for b, f in pointer.get(name, {}).items() if b not in buckets} | self._store(name, df)
         return out
 
+    def _merged(self, old: DataFrame, ids: DataFrame, new: DataFrame | None = None) -> DataFrame:
+        """Rows of ``old`` whose path is not in ``ids``, and of ``new`` one for each path, with its id; dealt out by bucket.
+
+        All come to their bucket once and meet there, so texts are exchanged once, and not for each join.
+        """
+        columns = old.columns
+        parts = [(1, old), (0, ids.select("path", *[F.col(c) for c in ids.columns if c == "file_id"]))] + ([(2, new)] if new is not None else [])
+        both = None
+        for side, rows in parts:
+            rows = rows.withColumn("side", F.lit(side))
+            both = rows if both is None else both.unionByName(rows, allowMissingColumns=True)
+        path = Window.partitionBy("bucket", "path")
+        rows = both.withColumn("bucket", bucket_of()).repartition("bucket")
+        rows = rows.withColumn("named", F.min("side").over(path) == 0).withColumn("given", F.max(F.when(F.col("side") == 0, F.col("file_id"))).over(path))
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "path", "side").orderBy("hash")))
+        rows = rows.filter(((F.col("side") == 1) & ~F.col("named")) | ((F.col("side") == 2) & (F.col("nth") == 1)))
+        return rows.withColumn("file_id", F.when(F.col("side") == 2, F.col("given")).otherwise(F.col("file_id"))).select(*columns, "bucket")
+
     def _numbered(self, name: str, rows: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
         """Rows of (bucket, ...) with ids behind those of ``old``: dense in each bucket, in ``order``, and equal to the bucket modulo BUCKETS."""
         own = ID[name]
@@ -150,9 +169,10 @@ class Store:
         staged = f".ids/{uuid.uuid4().hex}"
         self._numbered("files", paths, old, ["path"]).write.parquet(f"{self.root}/{staged}")
         ids = self.spark.read.schema("path string, file_id long").parquet(f"{self.root}/{staged}")
-        new = files.dropDuplicates(["path"]).join(ids, "path").withColumn("hash", content_hash()).withColumn("indexed_at", F.lit(int(time.time())))
+        new = files.withColumn("hash", content_hash()).withColumn("indexed_at", F.lit(int(time.time())))
+        new = new.select(*[c for c in new.columns if c in old.columns and c != "file_id"])
         gone = old.join(ids, "path", "left_semi").select("file_id")
-        out = {"files": upsert(old, new, KEYS["files"])}
+        out = {"files": self._merged(old, ids, new)}
         for name, key in CHILDREN.items():
             before = self._touched(pointer, name, buckets)
             kept = before.join(gone.withColumnRenamed("file_id", key), key, "left_anti")
@@ -171,7 +191,7 @@ class Store:
         old = self._touched(pointer, "files", buckets)
         gone = old.join(paths.select("path"), "path", "left_semi").select("file_id")
         out = {name: self._touched(pointer, name, buckets).join(gone.withColumnRenamed("file_id", key), key, "left_anti") for name, key in CHILDREN.items()}
-        self._publish(number, self._replaced(pointer, buckets, {"files": old.join(paths.select("path"), "path", "left_anti"), **out}))
+        self._publish(number, self._replaced(pointer, buckets, {"files": self._merged(old, paths), **out}))
 
     def set_embeddings(self, embedded: DataFrame) -> None:
         """(chunk_id, embedding) into chunks; other chunks keep theirs."""

@@ -268,3 +268,16 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert "function at src/users.rs:5-7" in say("explain", "get_user", "-d", db)[1].out and "not in the index" in say("explain", "nothing", "-d", db)[1].out
     assert "not calibrated" in say("calibrate", "-d", db, "--dry-run")[1].out
     assert say("deps", "../x", "-d", db)[0] == 2
+
+
+def test_texts_are_exchanged_once(spark, tmp_path):
+    kind = "path string, content string, size long, last_modified long, language string"
+    old = spark.createDataFrame([(1, "a", "rust", "h1", 1, 1, 1, "one"), (2, "b", "rust", "h2", 1, 1, 1, "two")], "file_id long, path string, language string, hash string, size long, last_modified long, indexed_at long, content string")
+    new = spark.createDataFrame([("b", "new", 3, 2, "rust"), ("c", "x", 1, 2, "rust"), ("c", "y", 1, 2, "rust")], kind).withColumn("hash", F.sha2("content", 256)).withColumn("indexed_at", F.lit(2))
+    ids = spark.createDataFrame([("b", 66), ("c", 67)], "path string, file_id long")
+    store = Store(spark, str(tmp_path / "s"))
+    got = store._merged(old, ids, new)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = {r["path"]: (r["file_id"], r["content"]) for r in got.collect()}
+    assert got.count() == 3 and rows["a"] == (1, "one") and rows["b"] == (66, "new") and rows["c"][0] == 67
+    assert [r["path"] for r in store._merged(old, ids.select("path")).collect()] == ["a"]
